@@ -65,3 +65,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     direct = rows.join(hot, keys, "inner")
     shuffled = rows.join(F.broadcast(groups.filter(F.col(size) >= least).select(*keys)), keys, "left_anti").join(cold, keys, "inner")
     return direct.unionByName(shuffled)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for CPU-heavy Python stages over few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
