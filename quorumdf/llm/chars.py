@@ -60,10 +60,10 @@ def fold(text: str) -> str:
         kept = parts[0]
         for left, right in zip(parts, parts[1:]):
             tight = left and right and _PICTURE.match(left[-1]) and _PICTURE.match(right[0])
-            kept += ("\ufffc" if tight else "") + right
+            kept += ("\ufdd0" if tight else "") + right
         text = kept
     out = unicodedata.normalize("NFC", "".join(map(fold_char, text)))
-    return out.replace("\ufffc", _JOINER)
+    return out.replace("\ufdd0", _JOINER)
 
 
 def content_fold(folded: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,12 @@ def _look_sql(column: str) -> str:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     ordinary = "".join(chr(c) for c in range(0x21, 0x7F))
     spaces = "\u00a0\u2007\u202f\u3000"
-    odd = "".join(LOOKALIKES.values()) + "ёЁїЇ"
-    plain = "".join(k * len(v) for k, v in LOOKALIKES.items()) + "ëËïÏ"
+    latin = {c: k for k, v in LOOKALIKES.items() for c in v}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):  # letters that are a look-alike with an accent
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in latin and len(one := unicodedata.normalize("NFC", latin[base] + "".join(marks))) == 1:
+            latin[c] = one
+    odd, plain = "".join(latin), "".join(latin.values())
     quote = lambda s: s.replace("'", "''")
     bare = f"regexp_replace({column}, '[\\x{{00AD}}\\x{{200B}}\\x{{200C}}\\x{{2060}}\\x{{FEFF}}\\x{{FE0F}}]', '', 'g')"
     for _ in range(2):
