@@ -1,11 +1,10 @@
 """Same or near-same records across splits: an exact bipartite set-similarity join.
 
-Every text is the set of its distinct lower-case words.  Words are put into one total order,
-rarest first by how many evaluation records hold them.  Two sets of similarity t have
-their first ``SHINGLE`` common words within the first n - ceil(t * n) + ``SHINGLE`` words of either, so a
-shingle of that many words of both prefixes is shared by every pair that is similar enough.
-The shingles of the evaluation prefixes are indexed, training prefixes probe the index through a filter of
-bounded size, and what meets is checked by length and verified on the whole word sets.
+Every text is the set of its distinct lower-case words, each a shingle of its own.  Words are put into one
+total order, rarest first by how many evaluation records hold them.  Two sets of similarity t share
+a word within the first n - ceil(t * n) + 1 words of either, so only those prefixes are indexed and
+probed.  What meets is filtered by length, by position and by a 128-bit parity signature, whose distance
+is never more than that of the sets, and the survivors are verified on their whole word sets.
 """
 
 from __future__ import annotations
@@ -13,27 +12,21 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumdf.plans.skew import cut, join_groups
 
 WORD = re.compile(r"\w+")
 #: Size of the table of word frequencies that is broadcast: 4 bytes each, whatever the data.
 BUCKETS = 1 << 20
-#: Words of a shingle.
-SHINGLE = 3
-#: Words of a record from which on it is indexed by single words.
-LONG = 100
-#: Bits of a shingle filter, at least and at most (64 MB); beyond that it lets more through, never less.
-FEWEST_BITS, MOST_BITS = 1 << 22, 1 << 29
-_PART = 1 << 16  # bits of the pieces in which a filter is put together
+#: Candidate pairs up to which they are broadcast to fetch their texts; beyond that the texts are shuffled.
+FEW_PAIRS = 200_000
 
 
 def words(text: str | None) -> set[str]:
@@ -82,108 +75,45 @@ def prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
 
-@lru_cache(maxsize=None)
-def _places(m: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(m), k)), np.int64).reshape(-1, k)
+def signature(hashes: np.ndarray) -> tuple[int, int]:
+    """For each of 128 bits, whether an odd number of words falls on it: one differing word flips one bit."""
+    bits = np.bincount((hashes >> 20) & 127, minlength=128) & 1
+    return tuple(int(x) for x in np.packbits(bits.astype(np.uint8)).view(np.int64))
 
 
-def shingles(hashes: np.ndarray, table: np.ndarray, least: float) -> np.ndarray:
-    """Hashes of the shingles of a record's prefix, of words that occur in the evaluation split.
-
-    A record of fewer words than a shingle can only match one of the same size, so all its words are its shingle.
-    A record of more than ``LONG`` words has single words in place of shingles, whose number would grow with the
-    cube of its length; records that could match one have both.
-    """
-    n = len(hashes)
-    kinds = ([min(SHINGLE, n)] if n <= LONG else []) + ([1] if n >= math.floor(least * LONG) else [])
-    counts = table[hashes & (BUCKETS - 1)]
-    order = np.lexsort((hashes, counts))
-    out = []
-    for size in kinds:
-        prefix = order[: min(n, prefix_length(n, least) + size - 1)]
-        known = hashes[prefix[counts[prefix] > 0]].view(np.uint64)
-        if len(known) < size:
-            continue
-        picked = known[_places(len(known), size)] if size > 1 else known[:, None]
-        key = np.full(len(picked), size, np.uint64)
-        for c in range(size):
-            key = (key ^ picked[:, c]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out.append(key.view(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def _bits(keys: np.ndarray, size: int) -> np.ndarray:
-    k = keys.view(np.uint64)
-    return np.concatenate([k & np.uint64(size - 1), (k >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - size.bit_length() + 1)]).astype(np.int64)
-
-
-class Filter:
-    """Two bits per key in a bit field of fixed size: says no only to keys that are not in it."""
-
-    def __init__(self, field: np.ndarray):
-        self.field, self.size = field, len(field) * 8
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        at = _bits(keys, self.size)
-        hit = (self.field[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (hit[: len(keys)] & hit[len(keys) :]).astype(bool)
-
-
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    field = np.zeros(_PART // 8, np.uint8)
-    for part in frame["field"]:
-        field |= np.frombuffer(part, np.uint8)
-    return pd.DataFrame({"part": [frame["part"].iloc[0]], "field": [field.tobytes()]})
-
-
-def make_filter(rows: DataFrame, keys_of, entries: int) -> Filter:
-    """The filter of all keys of ``rows``: each task sets bits in its own copy, and the copies are or-ed piece by piece before they reach the driver."""
-    size = FEWEST_BITS
-    while size < min(MOST_BITS, 24 * entries):
-        size *= 2
-
+def _prefixes(frequency, least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = np.zeros(size, np.uint8)
-        used = False
-        for frame in frames:
-            for keys in keys_of(frame):
-                if len(keys):
-                    field[_bits(np.ascontiguousarray(keys), size)] = 1
-                    used = True
-        if used:
-            for part, piece in enumerate(np.packbits(field, bitorder="little").reshape(-1, _PART // 8)):
-                if piece.any():
-                    yield pd.DataFrame({"part": [part], "field": [piece.tobytes()]})
-
-    got = rows.mapInPandas(run, "part int, field binary").groupBy("part").applyInPandas(_merge, "part int, field binary").toPandas()
-    out = np.zeros((size // _PART, _PART // 8), np.uint8)
-    for part, piece in zip(got["part"], got["field"]):
-        out[part] = np.frombuffer(piece, np.uint8)
-    return Filter(out.ravel())
-
-
-def _probe(frequency, through, least: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, known = frequency.value, through.value
+        table = frequency.value
         for frame in frames:
             rows = []
             for rid, text in zip(frame["id"], frame["text"]):
                 hashes = _hashes(text) if text else ()
-                if len(hashes):
-                    keys = shingles(hashes, table, least)
-                    if len(keys):
-                        keys = keys[known.passes(keys)]
-                        if len(keys):
-                            rows.append((rid, xxhash.xxh128_hexdigest(hashes.tobytes()), len(hashes), hashes, keys))
-            yield pd.DataFrame(rows, columns=["id", "own", "size", "hashes", "keys"])
+                n = len(hashes)
+                if not n:
+                    continue
+                counts = table[hashes & (BUCKETS - 1)]
+                order = np.lexsort((hashes, counts))[: prefix_length(n, least)]
+                place = np.flatnonzero(counts[order] > 0)
+                if len(place):  # else it shares no prefix word with any evaluation record
+                    rows.append((rid, xxhash.xxh128_hexdigest(hashes.tobytes()), n, hashes[order[place]], place.astype(np.int32), *signature(hashes)))
+            yield pd.DataFrame(rows, columns=["id", "own", "size", "tokens", "places", "s1", "s2"])
 
     return run
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct word set: ``own``, ``n``, ``size``, its words and shingles."""
-    return rows.groupBy("own").agg(F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("hashes").alias("hashes"), F.any_value("keys").alias("keys"))
+    """One row per distinct word set: ``own``, its first row ``rep``, ``n``, and what the join needs."""
+    return rows.groupBy("own").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("size", "tokens", "places", "s1", "s2")])
+
+
+def _postings(classes: DataFrame, tag: str) -> DataFrame:
+    flat = classes.select("rep", "size", "s1", "s2", F.explode(F.arrays_zip("tokens", "places")).alias("x"))
+    return flat.select(F.col("x.tokens").alias("token"), F.col("x.places").alias(f"place_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in ("rep", "size", "s1", "s2")])
+
+
+@F.pandas_udf(T.DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([len(x & y) / max(1, len(x | y)) for x, y in zip(map(words, a), map(words, b))], dtype=float)
 
 
 def class_pairs(evaluation: DataFrame, training: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,33 +121,33 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, least: float = 0.8)
 
     ``pairs(own_e, own_t, similarity, n_e, n_t)`` links distinct word sets; the members give
     the ``own`` of each row ``id`` that may match.  Both inputs are (id, text).  Rows without any word
-    (null, empty, punctuation only) take part in nothing.  Words are told apart by 64-bit hashes.
+    (null, empty, punctuation only) take part in nothing.
     """
-    sc = evaluation.sparkSession.sparkContext
-    table = sc.broadcast(frequencies(evaluation))
-
-    def eval_keys(frame: pd.DataFrame):
-        for text in frame["text"]:
-            if text and len(hashes := _hashes(text)):
-                yield shingles(hashes, table.value, least)
-
-    indexed = sc.broadcast(make_filter(evaluation.select("text"), eval_keys, 100 * evaluation.count()))
-    shape = "id {}, own string, size int, hashes array<bigint>, keys array<bigint>"
-    t_rows = cut(training.mapInPandas(_probe(table, indexed, least), shape.format(dict(training.dtypes)["id"])))
-    t_classes = cut(_classes(t_rows))
-    hit = sc.broadcast(make_filter(t_classes.select("keys"), lambda frame: frame["keys"], int(t_classes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])))
-    e_rows = cut(evaluation.mapInPandas(_probe(table, hit, least), shape.format(dict(evaluation.dtypes)["id"])))
-    e_classes = cut(_classes(e_rows))
-    e = e_classes.select(F.explode("keys").alias("key"), F.col("own").alias("own_e"), F.col("size").alias("size_e"))
-    t = t_classes.select(F.explode("keys").alias("key"), F.col("own").alias("own_t"), F.col("size").alias("size_t"))
-    alike = (F.col("size_t") >= F.lit(least) * F.col("size_e") - 1e-9) & (F.col("size_e") >= F.lit(least) * F.col("size_t") - 1e-9)
-    candidates = t.join(e, "key").filter(alike).select("own_e", "own_t").distinct()
-    e_all = e_classes.select(F.col("own").alias("own_e"), F.col("n").alias("n_e"), F.col("hashes").alias("h_e"))
-    t_all = t_classes.select(F.col("own").alias("own_t"), F.col("n").alias("n_t"), F.col("hashes").alias("h_t"))
-    common = F.size(F.array_intersect("h_e", "h_t"))
-    similarity = common / (F.size("h_e") + F.size("h_t") - common)
-    pairs = candidates.join(e_all, "own_e").join(t_all, "own_t").withColumn("similarity", similarity).filter(F.col("similarity") >= least - 1e-9)
-    return cut(pairs.select("own_e", "own_t", "similarity", "n_e", "n_t")), e_rows.select("id", "own"), t_rows.select("id", "own")
+    table = evaluation.sparkSession.sparkContext.broadcast(frequencies(evaluation))
+    shape = "id {}, own string, size int, tokens array<bigint>, places array<int>, s1 bigint, s2 bigint"
+    e_rows, t_rows = (cut(x.mapInPandas(_prefixes(table, least), shape.format(dict(x.dtypes)["id"]))) for x in (evaluation, training))
+    e_classes, t_classes = cut(_classes(e_rows)), cut(_classes(t_rows))
+    both = F.col("size_e") + F.col("size_t")
+    overlap = F.ceil(F.lit(least / (1 + least)) * both - 1e-9)
+    # The first word that two sets share has all their common words at or after it in both orders.
+    reach = 1 + F.least(F.col("size_e") - F.col("place_e") - 1, F.col("size_t") - F.col("place_t") - 1)
+    apart = F.bit_count(F.col("s1_e").bitwiseXOR(F.col("s1_t"))) + F.bit_count(F.col("s2_e").bitwiseXOR(F.col("s2_t")))
+    meets = _postings(t_classes, "t").join(_postings(e_classes, "e"), "token").filter(
+        (F.col("size_t") >= F.lit(least) * F.col("size_e") - 1e-9) & (F.col("size_e") >= F.lit(least) * F.col("size_t") - 1e-9) & (reach >= overlap) & (apart <= both - 2 * overlap)
+    )
+    candidates = cut(meets.select("rep_e", "rep_t").distinct())
+    few = candidates.count() <= FEW_PAIRS
+
+    def fetch(rows: DataFrame, rep: str) -> DataFrame:
+        ids = candidates.select(rep).distinct()
+        return rows.join(F.broadcast(ids) if few else ids, F.col("id") == F.col(rep))
+
+    e_text = fetch(evaluation, "rep_e").select("rep_e", F.col("text").alias("text_e")).dropDuplicates(["rep_e"])
+    t_text = fetch(training, "rep_t").select("rep_t", F.col("text").alias("text_t")).dropDuplicates(["rep_t"])
+    near = candidates.join(e_text, "rep_e").join(t_text, "rep_t").withColumn("similarity", _similarity("text_e", "text_t")).filter(F.col("similarity") >= least - 1e-9)
+    near = cut(near.select("rep_e", "rep_t", "similarity"))
+    named = near.join(e_classes.select(F.col("rep").alias("rep_e"), F.col("own").alias("own_e"), F.col("n").alias("n_e")), "rep_e").join(t_classes.select(F.col("rep").alias("rep_t"), F.col("own").alias("own_t"), F.col("n").alias("n_t")), "rep_t")
+    return cut(named.select("own_e", "own_t", "similarity", "n_e", "n_t")), e_rows.select("id", "own"), t_rows.select("id", "own")
 
 
 def pairs(evaluation: DataFrame, training: DataFrame, least: float = 0.8) -> DataFrame:
