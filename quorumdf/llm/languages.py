@@ -37,13 +37,19 @@ NAMES = {
 SAMPLE_DOCS = 2000
 #: n-grams of a profile.
 PROFILE = 3000
-GRAM = 4
+#: Lengths of the n-grams.
+GRAMS = (2, 3)
+#: Characters that are compared in one go.
+BATCH_CHARS = 400_000
 #: Cost of a change of language inside a document, in n-grams that would have to be fully out of place.
-SWITCH = 4.0
+SWITCH = 1.5
 
 _UNIT = re.compile(r"(?<=[.!?…])[\"'»)]*\s+|\s*[\r\n]+\s*")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_SPACE = re.compile(r"\S+")
+_LETTER = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u02af\\u0300-\\u036f\\u0400-\\u052f\\u1e00-\\u1eff]"
+_MARK = "[.,;:!?…\"'()«»¿¡“”„’*>–—-]*"
+#: A whole token of Latin or Cyrillic letters; codes, numbers, paths, handles and pictures are none.
+_WORD = re.compile(rf"(?<!\S){_MARK}({_LETTER}+(?:['’-]{_LETTER}+)*){_MARK}(?!\S)")
+_TOKEN = re.compile(r"\S*\w\S*")
 #: A word with one letter four times in a row, or this long, belongs to no language.
 _NOISE = re.compile(r"(.)\1{3}")
 LONGEST_WORD = 60
@@ -59,17 +65,11 @@ def label_language(label: Column) -> Column:
 
 
 def unit_words(unit: str) -> list[str]:
-    """Words of a unit that can tell a language: no codes, numbers, paths, handles or pictures, only Latin and Cyrillic letters."""
-    out = []
-    for m in _SPACE.finditer(unit):
-        token = m[0]
-        if any(c.isdigit() for c in token) or any(c in "=@/\\_{}[]<>|#" for c in token):
-            continue
-        bare = token.strip(".,;:!?…\"'()«»¿¡“”„’*>-–—")
-        if bare and _WORD.fullmatch(bare) and ("Ͱ" > max(bare) or "Ѐ" <= max(bare) < "԰" or "Ḁ" <= max(bare) < "ἀ" or max(bare) == "’"):
-            if len(bare) <= LONGEST_WORD and not _NOISE.search(bare):
-                out.append(bare.lower())
-    return out
+    """Words of a unit that can tell a language, in lower case."""
+    words = _WORD.findall(unit)
+    if len(unit) > LONGEST_WORD or _NOISE.search(unit):
+        words = [w for w in words if len(w) <= LONGEST_WORD and not _NOISE.search(w)]
+    return words
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
@@ -77,13 +77,15 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
 
     A line that is mostly codes and numbers (a log line, a table row) has none.
     """
+    low = text.lower()
+    if len(low) != len(text):  # a letter that grows in lower case would move the offsets
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out, start = [], 0
-    for m in [*_UNIT.finditer(text), None]:
-        end = m.start() if m else len(text)
-        piece = text[start:end]
+    for m in [*_UNIT.finditer(low), None]:
+        end = m.start() if m else len(low)
+        piece = low[start:end]
         words = unit_words(piece)
-        tokens = [t for t in piece.split() if any(c.isalnum() for c in t)]
-        if words and 2 * len(words) > len(tokens) - (len(words) > 3) * 2:
+        if words and 2 * len(words) > len(_TOKEN.findall(piece)) - (len(words) > 3) * 2:
             out.append((start, end, words))
         start = m.end() if m else end
     return out
@@ -97,20 +99,21 @@ def _plain(word: str) -> str:
 
 def grams(word: str) -> list[str]:
     padded = f"_{word}_"
-    return [padded[i : i + n] for n in range(1, GRAM + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != "_"]
+    return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
 
 
 class Profiles:
-    """Profiles of all languages as one table: the place of each n-gram in each of them."""
+    """Profiles of all languages as one table: the place of each n-gram in each of them, n-grams in order of their best place."""
 
     def __init__(self, table: pd.DataFrame, languages: tuple[str, ...] = LANGUAGES):
         self.languages = languages
-        known = sorted(set(table["gram"]))
-        self.index = {g: i for i, g in enumerate(known)}
-        self.places = np.full((len(known) + 1, len(languages)), PROFILE, np.float32)
+        best: dict[str, int] = {}
+        for gram, place in zip(table["gram"], table["place"]):
+            best[gram] = min(best.get(gram, PROFILE), place)
+        self.index = {g: i for i, g in enumerate(sorted(best, key=lambda g: (best[g], g)))}
+        self.places = np.full((len(best), len(languages)), np.inf, np.float32)
         for lang, gram, place in zip(table["lang"], table["gram"], table["place"]):
             self.places[self.index[gram], languages.index(lang)] = place
-        self.order = np.append(self.places[:-1].min(axis=1), PROFILE)
         self.cache: dict[str, np.ndarray] = {}
 
     def _ids(self, word: str) -> np.ndarray:
@@ -118,20 +121,39 @@ class Profiles:
         if ids is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            ids = self.cache[word] = np.fromiter((self.index.get(g, len(self.index)) for g in grams(word)), np.int32)
+            ids = self.cache[word] = np.array([i for g in grams(word) if (i := self.index.get(g)) is not None], np.int64)
         return ids
 
-    def distances(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """Out-of-place distance to every language as a share of the largest possible, and the number of n-grams ranked."""
-        ids, counts = np.unique(np.concatenate([self._ids(w) for w in words]), return_counts=True)
-        seen = ids < len(self.index)
-        ids, counts = ids[seen], counts[seen]
-        if not len(ids):
-            return np.ones(len(self.languages)), 0
-        ranked = ids[np.lexsort((self.order[ids], -counts))][:PROFILE]
-        out = np.abs(self.places[ranked] - np.arange(len(ranked), dtype=np.float32)[:, None])
-        out = np.where(self.places[ranked] >= PROFILE, PROFILE, out)
-        return out.mean(axis=0) / PROFILE, len(ranked)
+    def costs(self, found: list[list[str]]) -> np.ndarray:
+        """(unit, language): out-of-place distance of each unit, in n-grams fully out of place.
+
+        A unit's n-grams are ranked by falling count, equal ones by their best place in any profile; a known
+        n-gram that a profile lacks is fully out of place.  All units are ranked together.
+        """
+        n, width = len(found), len(self.languages)
+        out = np.zeros((n, width))
+        arrays = [self._ids(w) for words in found for w in words]
+        if not arrays or not len(self.index):
+            return out
+        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        unit_of_word = np.repeat(np.arange(n), [len(words) for words in found])
+        key, count = np.unique(np.repeat(unit_of_word, sizes) * len(self.index) + np.concatenate(arrays), return_counts=True)
+        if not len(key):
+            return out
+        unit, gram = key // len(self.index), key % len(self.index)
+        start = np.searchsorted(unit, np.arange(n))
+        # Entries stand by unit and best place.  Those counted once follow the others of their unit in that order.
+        many = count > 1
+        several = np.bincount(unit[many], minlength=n)
+        once = np.cumsum(~many)
+        rank = several[unit] + once - 1 - np.concatenate([[0], once])[start][unit]
+        at = np.flatnonzero(many)
+        order = at[np.lexsort((gram[at], -count[at], unit[at]))]
+        rank[order] = np.arange(len(order)) - (np.cumsum(several) - several)[unit[order]]
+        apart = np.minimum(np.abs(self.places[gram] - np.minimum(rank, PROFILE).astype(np.float32)[:, None]), PROFILE) / PROFILE
+        used = np.unique(unit)
+        out[used] = np.add.reduceat(apart, start[used], axis=0)
+        return out
 
 
 def _sentences(text: str | None) -> tuple[str, list[tuple[int, int, list[str]]]]:
@@ -141,12 +163,11 @@ def _sentences(text: str | None) -> tuple[str, list[tuple[int, int, list[str]]]]
     return text, units(text)
 
 
-def path(profiles: Profiles, found: list[tuple[int, int, list[str]]], switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
-    """The language index of each unit on the cheapest path, and the costs (unit, language)."""
-    costs = np.empty((len(found), len(profiles.languages)))
-    for i, (_, _, words) in enumerate(found):
-        share, n = profiles.distances(words)
-        costs[i] = share * n
+def path(costs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The language of each unit on the cheapest way through a document's units, each change costing ``switch``."""
+    first = costs.argmin(axis=1)
+    if (first == first[0]).all():
+        return first
     total, back = costs[0].copy(), []
     for row in costs[1:]:
         stay, jump = total, total.min() + switch
@@ -157,7 +178,33 @@ def path(profiles: Profiles, found: list[tuple[int, int, list[str]]], switch: fl
     for step in reversed(back):
         at = int(step[at])
         out.append(at)
-    return np.array(out[::-1]), costs
+    return np.array(out[::-1])
+
+
+def paths(profiles: Profiles, texts) -> Iterator[tuple[int, list[tuple[int, int, list[str]]], np.ndarray, np.ndarray]]:
+    """(number, units, languages, costs) of each text that has language; texts are compared many at a time."""
+    held: list[tuple[int, list]] = []
+    size = 0
+
+    def done():
+        costs = profiles.costs([u[2] for _, found in held for u in found])
+        at = 0
+        for number, found in held:
+            own = costs[at : at + len(found)]
+            at += len(found)
+            yield number, found, path(own), own
+
+    for number, text in enumerate(texts):
+        found = _sentences(text)[1]
+        found = [u for u in found if len(u[2]) > 1] or found
+        if found:
+            held.append((number, found))
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield from done()
+                held, size = [], 0
+    if held:
+        yield from done()
 
 
 def _confidence(cost: np.ndarray, best: int, n: int) -> float:
@@ -200,13 +247,14 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 total: Counter = Counter()
-                for body, own in zip(frame["text"], frame["lang"]):
-                    found = _sentences(body)[1]
-                    if profiles is not None and found:
-                        best, _ = path(profiles, found)
-                        found = [u for u, b in zip(found, best) if profiles.languages[b] == own]
-                    for _, _, words in found:
-                        total.update((own, w) for w in words)
+                if profiles is None:
+                    for body, own in zip(frame["text"], frame["lang"]):
+                        total.update((own, w) for _, _, words in _sentences(body)[1] for w in words)
+                else:
+                    langs = list(frame["lang"])
+                    for number, found, best, _ in paths(profiles, frame["text"]):
+                        own = langs[number]
+                        total.update((own, w) for u, b in zip(found, best) if profiles.languages[b] == own for w in u[2])
                 yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["lang", "word", "n"])
 
         return run
@@ -225,12 +273,9 @@ def stretches(documents: DataFrame, profiles: Profiles, key: str = "doc_id", tex
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for rid, body in zip(frame[key], frame["text"]):
-                found = _sentences(body)[1]
-                solid = [u for u in found if len(u[2]) > 1] or found
-                if not solid:
-                    continue
-                best, costs = path(profiles, solid)
+            ids = list(frame[key])
+            for number, solid, best, costs in paths(profiles, frame["text"]):
+                rid = ids[number]
                 edges = np.flatnonzero(np.diff(best)) + 1
                 for no, part in enumerate(np.split(np.arange(len(best)), edges), 1):
                     cost = costs[part].sum(axis=0)
