@@ -44,6 +44,17 @@ def fold_char(c: str) -> str:
     return _TO_LATIN.get(ord(c), c)
 
 
+class _Folds(dict):
+    """Code point to folded character, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = fold_char(chr(code))
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def fold(text: str) -> str:
     """The table form of a text: equal for texts that look the same.
 
@@ -62,7 +73,7 @@ def fold(text: str) -> str:
             tight = left and right and _PICTURE.match(left[-1]) and _PICTURE.match(right[0])
             kept += ("\ufdd0" if tight else "") + right
         text = kept
-    out = unicodedata.normalize("NFC", "".join(map(fold_char, text)))
+    out = unicodedata.normalize("NFC", text.translate(_FOLDS))
     return out.replace("\ufdd0", _JOINER)
 
 

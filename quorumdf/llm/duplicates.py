@@ -15,12 +15,16 @@ from quorumdf.plans.skew import cut, join_groups
 
 _SEPARATOR = re.compile(r"\s*(?:\r?\n|\r|[|;])\s*")
 _FIELD = re.compile(r"[-*•\s\"'{,]*([^\W\d_][\w. ]{0,38}?)\s*[:=]\s*(.*)", re.S)
+_OTHER = re.compile("[^\\w\u0300-\u036f]+|_+")
+#: A character that the JVM does not fold: anything but ASCII without colon and equals sign, and signs that are left out anyway.
+_SLOW = r"[^\x00-9;<>-\x7f€£«»¿¡’‘“”„…–—\u00a0]"
 #: Words that a field's name may have.
 NAME_WORDS = 4
 
 
 def _bare(text: str) -> str:
-    return "".join(c for c in content_fold(text) if c.isalnum() or "\u0300" <= c <= "\u036f")
+    """Letters, digits and their accents only, case folded."""
+    return _OTHER.sub("", content_fold(text))
 
 
 def _fields(text: str) -> list[tuple[str, str]] | None:
@@ -65,14 +69,13 @@ def _canonical(texts: pd.Series) -> pd.Series:
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(``id``, ``content``): the canonical content of every row; null for a null text.
 
-    Plain ASCII messages, which cannot be a form (no ``:`` or ``=``), are folded inside the JVM.
+    Messages of ASCII and common signs, which cannot be a form (no ``:`` or ``=``), are folded inside the JVM.
     """
     t = F.col(text)
-    simple = t.isNull() | ~(t.rlike(r"[^\x00-\x7f]") | t.rlike("[:=]"))
-    return df.select(
-        F.col(key).alias("id"),
-        F.coalesce(F.when(simple, F.lower(F.regexp_replace(t, "[^A-Za-z0-9]+", ""))), _canonical(F.when(~simple, t))).alias("content"),
-    )
+    other = F.when(F.octet_length(t) == F.length(t), t.contains(":") | t.contains("=")).otherwise(t.rlike(_SLOW))
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t"), F.coalesce(other, F.lit(False)).alias("slow"))
+    plain = F.when(~F.col("slow"), F.lower(F.regexp_replace("t", "[^A-Za-z0-9]+", "")))
+    return rows.select("id", F.coalesce(plain, _canonical(F.when(F.col("slow"), F.col("t")))).alias("content"))
 
 
 def collapse(df: DataFrame, key: str = "pool_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -67,7 +67,7 @@ def label_language(label: Column) -> Column:
 def unit_words(unit: str) -> list[str]:
     """Words of a unit that can tell a language, in lower case."""
     words = _WORD.findall(unit)
-    if len(unit) > LONGEST_WORD or _NOISE.search(unit):
+    if words and (_NOISE.search(unit) or max(map(len, words)) > LONGEST_WORD):
         words = [w for w in words if len(w) <= LONGEST_WORD and not _NOISE.search(w)]
     return words
 
