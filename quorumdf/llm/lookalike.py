@@ -14,7 +14,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumdf.llm.chars import fold, script_of
@@ -143,6 +143,11 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
+def beyond_ascii(column: Column) -> Column:
+    """Whether a text has a character beyond ASCII: it has more bytes than characters then."""
+    return F.octet_length(column) != F.length(column)
+
+
 def spelling_table(texts: DataFrame) -> DataFrame:
     """(token, spelling) of every distinct token with a character beyond ASCII in ``texts.text``.
 
@@ -151,13 +156,12 @@ def spelling_table(texts: DataFrame) -> DataFrame:
     themselves; of them only those that could match (same folded start and length as
     an odd token) are sent.
     """
-    has_odd = F.col("text").rlike(r"[^\x00-\x7f]")
-    odd = cut(texts.filter(has_odd).select("text").mapInPandas(_odd_tokens, "token string, shard string, clean boolean").distinct())
-    wanted = odd.filter(~F.col("shard").rlike(r"[^\x00-\x7f]")).select("shard").distinct()
+    odd = cut(texts.filter(beyond_ascii(F.col("text"))).select("text").mapInPandas(_odd_tokens, "token string, shard string, clean boolean").distinct())
+    wanted = odd.filter(~beyond_ascii(F.col("shard"))).select("shard").distinct()
     plain = (
         texts.filter("text is not null")
-        .select(F.explode(F.array_distinct(F.split("text", SPACES))).alias("token"))
-        .filter((F.col("token") != "") & ~F.col("token").rlike(r"[^\x00-\x7f]"))
+        .select(F.explode(F.split("text", SPACES)).alias("token"))
+        .filter((F.col("token") != "") & ~beyond_ascii(F.col("token")))
         .distinct()
         .withColumn("shard", F.substring("token", 1, SHARD_CHARS))
         .join(wanted, "shard", "left_semi")
@@ -184,9 +188,8 @@ def normalize(df: DataFrame, key: str, text: str = "text", out: str = "normal")
     White space inside a text is kept; special spaces become ordinary ones.
     """
     texts = df.select(F.col(text).alias("text"))
-    has_odd = F.col("text").rlike(r"[^\x00-\x7f]")
     spelled = spelling_table(texts)
-    odd = df.select(F.col(key).alias("__rid"), F.col(text).alias("text")).filter(has_odd)
+    odd = df.select(F.col(key).alias("__rid"), F.col(text).alias("text")).filter(beyond_ascii(F.col("text")))
     parts = odd.mapInPandas(_split_rows, f"__rid {dict(df.dtypes)[key]}, k int, part string")
     done = (
         parts.join(spelled.withColumnRenamed("token", "part"), "part", "left")
@@ -196,8 +199,8 @@ def normalize(df: DataFrame, key: str, text: str = "text", out: str = "normal")
     )
     if out in df.columns:
         df = df.drop(out)
-    plain = df.filter(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x00-\x7f]")).withColumn(out, F.col(text))
-    rest = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).join(done, key, "left").withColumn(out, F.coalesce("__done", text)).drop("__done")
+    plain = df.filter(F.col(text).isNull() | ~beyond_ascii(F.col(text))).withColumn(out, F.col(text))
+    rest = df.filter(beyond_ascii(F.col(text))).join(done, key, "left").withColumn(out, F.coalesce("__done", text)).drop("__done")
     return plain.unionByName(rest)
 
 
