@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumdf.llm.chars import fold, script_of
 from quorumdf.plans.skew import cut
@@ -23,7 +24,6 @@ from quorumdf.plans.skew import cut
 #: Characters of the folded token that decide in which trie it is looked up.
 SHARD_CHARS = 4
 SPACES = r"[ \t\n\r\x0b\x0c]+"
-SPECIAL_SPACES = r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 
 
 class Trie:
@@ -171,12 +171,25 @@ def spelling_table(texts: DataFrame) -> DataFrame:
     return both.mapInPandas(_walk, "token string, spelling string")
 
 
-def _split_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _odd_of_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for rid, text in zip(frame["__rid"], frame["text"]):
-            rows += [(rid, k, part) for k, part in enumerate(split_spaces(text)) if part]
-        yield pd.DataFrame(rows, columns=["__rid", "k", "part"])
+        rows = [(rid, t) for rid, text in zip(frame["__rid"], frame["text"]) for t in set(split_spaces(text)[::2]) if not t.isascii()]
+        yield pd.DataFrame(rows, columns=["__rid", "part"])
+
+
+@F.pandas_udf(T.StringType())
+def _respell(texts: pd.Series, parts: pd.Series, spellings: pd.Series) -> pd.Series:
+    out = []
+    for text, own, new in zip(texts, parts, spellings):
+        if text is None:
+            out.append(None)
+            continue
+        table = dict(zip(own, new)) if own is not None else {}
+        pieces = split_spaces(text)
+        pieces[::2] = [table.get(t, t) for t in pieces[::2]]
+        pieces[1::2] = map(fold, pieces[1::2])
+        out.append("".join(pieces))
+    return pd.Series(out)
 
 
 def normalize(df: DataFrame, key: str, text: str = "text", out: str = "normal") -> DataFrame:
@@ -190,17 +203,13 @@ def normalize(df: DataFrame, key: str, text: str = "text", out: str = "normal")
     texts = df.select(F.col(text).alias("text"))
     spelled = spelling_table(texts)
     odd = df.select(F.col(key).alias("__rid"), F.col(text).alias("text")).filter(beyond_ascii(F.col("text")))
-    parts = odd.mapInPandas(_split_rows, f"__rid {dict(df.dtypes)[key]}, k int, part string")
-    done = (
-        parts.join(spelled.withColumnRenamed("token", "part"), "part", "left")
-        .groupBy("__rid")
-        .agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("spelling", "part").alias("s")))).alias("all"))
-        .select(F.col("__rid").alias(key), F.regexp_replace(F.array_join(F.transform("all", lambda x: x["s"]), ""), SPECIAL_SPACES, " ").alias("__done"))
-    )
+    parts = odd.mapInPandas(_odd_of_rows, f"__rid {dict(df.dtypes)[key]}, part string")
+    tables = parts.join(spelled.withColumnRenamed("token", "part"), "part").groupBy("__rid").agg(F.collect_list(F.struct("part", "spelling")).alias("t"))
+    tables = tables.select(F.col("__rid").alias(key), F.col("t.part").alias("__own"), F.col("t.spelling").alias("__new"))
     if out in df.columns:
         df = df.drop(out)
     plain = df.filter(F.col(text).isNull() | ~beyond_ascii(F.col(text))).withColumn(out, F.col(text))
-    rest = df.filter(beyond_ascii(F.col(text))).join(done, key, "left").withColumn(out, F.coalesce("__done", text)).drop("__done")
+    rest = df.filter(beyond_ascii(F.col(text))).join(tables, key, "left").withColumn(out, _respell(F.col(text), "__own", "__new")).drop("__own", "__new")
     return plain.unionByName(rest)
 
 
