@@ -208,3 +208,31 @@ def cascade(first: DataFrame, panel: DataFrame, keys: list[str], limit: float |
     scores = first.groupBy(*keys).agg(F.min(A.top(F.col("p"))).alias("score"))
     sure = scores.filter(F.col("score") >= limit) if limit is not None else scores.filter("false")
     return first.join(sure.select(*keys), keys, "left_semi"), panel.join(sure.select(*keys), keys, "left_anti")
+
+
+def cascade_preview(first: DataFrame, panel: DataFrame, keys: list[str], budget: float = 0.05, delta: float = 0.05) -> dict:
+    """{threshold, escalated}: on labelled texts, the first teacher's score above which it rarely differs from the panel, and the share of texts below it."""
+    from quorumdf.operators.route import document_checks, threshold
+
+    row = threshold(document_checks(first, panel, keys), budget, delta).first()
+    return {"threshold": row["threshold"], "escalated": 1.0 - (row["coverage"] or 0.0)}
+
+
+def summary(votes: DataFrame, gold: DataFrame, keys: list[str], question: str, k: int, kind: str = "choice") -> dict:
+    """What the teachers are worth on the labelled rows: accuracy of each and of the combination (out of fold), temperature, influence, pairs."""
+    from quorumdf.operators import votes as V
+
+    own = votes.filter(F.col("question") == question)
+    truth = gold.filter(F.col("question") == question)
+    right = (A.argmax(F.col("p")) == F.col("y")).cast("double")
+    each = {r["teacher"]: r["a"] for r in own.join(truth, [*keys, "question"]).groupBy("teacher").agg(F.avg(right).alias("a")).collect()}
+    t, _ = pick_temperature(own, truth, keys, question, k, kind)
+    held = cross_fit(own, truth, keys, question, k, kind, t).join(truth, [*keys, "question"]).agg(F.avg(right).alias("a"), F.count("*").alias("n")).first()
+    return {
+        "n_dev": held["n"],
+        "accuracy": each,
+        "combined": held["a"],
+        "temperature": t,
+        "influence": {r["teacher"]: r["influence"] for r in V.influence(own, keys, len(each)).collect()},
+        "pairs": [r.asDict() for r in V.pairwise(own, keys).collect()],
+    }

@@ -123,3 +123,36 @@ def lock_hash(df: DataFrame, text: str = "text", label: str = "label") -> DataFr
     """
     row = F.conv(F.substring(F.sha2(F.concat(F.coalesce(text, F.lit("")), F.lit("\t"), F.coalesce(label, F.lit(""))), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(row).cast("string").alias("lock"))
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold`` 0..k-1 dealt round within each label, in order of a hash of the key."""
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1) % k).cast("int"))
+
+
+def split_question(gold: DataFrame, keys: list[str]) -> str | None:
+    """The question to stratify a panel's split by: answered for every row, two rows or more per class, other answers than the first nearest to half; None if there is none."""
+    n = gold.select(*keys).distinct().count()
+    sizes = gold.groupBy("question", "y").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("question").agg(F.sum("n").alias("rows"), F.min("n").alias("least"), F.count("*").alias("classes"), F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("other"))
+    fit = per.filter((F.col("rows") == n) & (F.col("least") >= 2) & (F.col("classes") >= 2))
+    best = fit.orderBy(F.abs(F.col("other") / F.col("rows") - 0.5), "question").first()  # one row per question
+    return best["question"] if best else None
+
+
+def head_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group; cut before the shuffle, so a hot group sends n rows per task."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("__k") <= n).drop("__k")
+
+
+def rate(raters: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:
+    """(key, rate, raters): mean of 0/1 judgements of items that ``least`` or more people judged."""
+    return raters.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("rate"), F.count("*").alias("raters")).filter(F.col("raters") >= least)
+
+
+def small_splits(dev: DataFrame, test: DataFrame, labels: DataFrame, label: str = "label") -> list[str]:
+    """Warnings: labels of fewer than 25 test rows, a dev split of fewer than 100 rows."""
+    few = [f"{r[label]} has {r['n']} test rows" for r in class_sizes(test, labels, label, 25).filter("not enough").orderBy(label).collect()]
+    n = dev.limit(100).count()
+    return few + ([f"the dev split has {n} rows"] if n < 100 else [])

@@ -208,3 +208,29 @@ def q_store_latest(spark: SparkSession, d: str) -> Frame:
 @query(f"with {S.SQL} select pool_id, question, teacher, round(list_max(p), 6) as top from votes where list_max(p) > 1e-9")
 def q_answered(spark: SparkSession, d: str) -> Frame:
     return S.votes(spark, d).filter(A.top(F.col("p")) > 1e-9).select("pool_id", "question", "teacher", F.round(A.top(F.col("p")), 6).alias("top"))
+
+
+@query("select seed_id, label, cast((row_number() over (partition by label order by sha256(concat('42|', seed_id)), seed_id) - 1) % 5 as integer) as fold from (select distinct seed_id, label from seed_dev)")
+def q_stratified_folds(spark: SparkSession, d: str) -> Frame:
+    return O.stratified_folds(table(spark, d, "seed_dev", "seed_id", "label").distinct(), "label", "seed_id").select("seed_id", "label", "fold")
+
+
+@query("select label, pool_id from pool_labeled qualify row_number() over (partition by label order by pool_id) <= 5")
+def q_group_head(spark: SparkSession, d: str) -> Frame:
+    return O.head_per_group(table(spark, d, "pool_labeled", "label", "pool_id"), "label", "pool_id", 5)
+
+
+@query(f"with {S.SQL} select pool_id, round(avg((p[2] > 0.5)::int::double), 6) as rate, count(*) as raters from votes where question = 'upset' group by 1 having count(*) >= 3")
+def q_rater_aggregate(spark: SparkSession, d: str) -> Frame:
+    rows = S.votes(spark, d).filter("question = 'upset'").select("pool_id", (F.get("p", F.lit(1)) > 0.5).cast("int").alias("v"))
+    return O.rate(rows, "pool_id", "v").withColumn("rate", F.round("rate", 6))
+
+
+@query("""with r as (select round, count(*) as n, avg(confidence) as c from pool_labeled where round is not null group by 1)
+select round, n, round(c, 6) as confidence, round(c - lag(c) over (order by round), 6) as gain, round(max(c) over (order by round rows 2 preceding), 6) as best_of_three from r""")
+def q_learning_curve(spark: SparkSession, d: str) -> Frame:
+    from pyspark.sql import Window
+
+    per = table(spark, d, "pool_labeled", "round", "confidence").filter("round is not null").groupBy("round").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    w = Window.orderBy("round")  # one row per labelling round
+    return per.select("round", "n", F.round("c", 6).alias("confidence"), F.round(F.col("c") - F.lag("c").over(w), 6).alias("gain"), F.round(F.max("c").over(w.rowsBetween(-2, 0)), 6).alias("best_of_three"))

@@ -97,3 +97,40 @@ def test_lenient_parsing(spark):
     assert d("nothing", ["a", "b"], "choice") is None and d(float("nan"), ["a", "b"], "score") is None
     df = frame(spark, [("Yes ", "noul", ["no", "yes"]), ("2.5", "score", ["0", "1", "2", "3"]), ("B", "choice", ["a", "b"]), ("?", "choice", ["a", "b"]), (None, "noul", ["no", "yes"])], "a string, k string, o array<string>")
     assert [r[0] for r in df.select(X.gold_index(F.col("a"), F.col("k"), F.col("o"))).collect()] == [1, 2, 1, None, None]
+
+
+def test_split_question_and_warnings(spark):
+    gold = frame(spark, [(i, q, y) for i in range(10) for q, y in (("even", i % 2), ("rare", int(i == 0)), ("lopsided", int(i < 2)))] + [(0, "part", 1)], "id int, question string, y int")
+    assert O.split_question(gold, ["id"]) == "even"
+    assert O.split_question(gold.filter("question = 'part'").unionByName(gold.filter("question = 'rare'")), ["id"]) is None
+    labels = frame(spark, [("a",), ("b",)], "label string")
+    rows = frame(spark, [("a",)] * 30, "label string")
+    assert O.small_splits(rows, rows, labels) == ["b has 0 test rows", "the dev split has 30 rows"]
+
+
+def test_summary_and_preview(spark):
+    import numpy as np
+
+    from quorumdf.operators.combine import cascade_preview, summary
+
+    rng = np.random.default_rng(2)
+    rows, gold = [], []
+    for i in range(200):
+        y = int(rng.integers(2))
+        gold.append((i, "q", y))
+        for t, acc in (("good", 0.95), ("poor", 0.6)):
+            said = y if rng.random() < acc else 1 - y
+            rows.append((i, "q", t, [0.9, 0.1] if said == 0 else [0.1, 0.9]))
+    votes, truth = frame(spark, rows, "id int, question string, teacher string, p array<double>"), frame(spark, gold, "id int, question string, y int")
+    s = summary(votes, truth, ["id"], "q", 2)
+    assert s["n_dev"] == 200 and s["accuracy"]["good"] > 0.9 > s["accuracy"]["poor"] and s["combined"] > 0.9
+    assert s["influence"].keys() == {"good", "poor"} and len(s["pairs"]) == 1
+    p = cascade_preview(votes.filter("teacher = 'poor'"), votes.filter("teacher = 'good'"), ["id"])
+    assert p == {"threshold": None, "escalated": 1.0}
+
+
+def test_demo_is_stable(spark):
+    from quorumdf.sources.demo import tickets
+
+    a, b = tickets(spark, 50), tickets(spark, 50).repartition(7)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.select("label").distinct().count() == 3 and a.filter("text like '%{}%'").count() == 0
