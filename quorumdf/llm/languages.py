@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumdf.llm.chars import fold
-from quorumdf.plans.skew import spread
+from quorumdf.plans.skew import cut, spread
 
 LANGUAGES = ("de", "en", "es", "fr", "nl", "pt", "ru")
 
@@ -239,9 +239,11 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Labels may be wrong and documents mixed, so it is done twice: the second profiles count only units
     that the first ones, too, put into the labelled language.  Words without their accents count along.
     """
-    rows = documents.select(F.col(text).alias("text"), label_language(F.col(lang)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang is not null and text is not null")
-    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample).select("text", "lang")
-    chosen = chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism)
+    labelled = documents.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), label_language(F.col(lang)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang is not null")
+    picked = labelled.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= sample).select("id", "lang")
+    # At most ``sample`` ids a language are broadcast to fetch their texts; no text is shuffled to be chosen.
+    texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("text", "lang")
+    chosen = cut(texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "text"))
 
     def count(profiles: Profiles | None):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
