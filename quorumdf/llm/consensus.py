@@ -25,6 +25,7 @@ GUESS_PULL = 5.0
 #: Agreement of two annotators beyond what their accuracies explain (0 to 1) from which they count as one voice.
 ECHO = 0.5
 ECHO_ROUNDS = 8
+MOST_OPTIONS = 512
 #: Model parameters are kept on the driver; they grow with annotators times squared options, not with data.
 MOST_ANNOTATORS = 20_000
 
@@ -49,20 +50,24 @@ def usable_label(probs: Column, options: Column) -> Column:
 def votes(answers: DataFrame, questions: DataFrame, item: str = "pool_id") -> DataFrame:
     """(``item``, question, votes array<struct<model, label>>), one row per item and question with a usable answer.
 
-    Of the answers of one model to one item the latest ``created_at`` counts (then the
-    latest ``loaded_at``, then the larger label, so the choice never depends on row order); it counts even if
+    Of the answers of one model to one item the latest ``created_at`` counts (of equal times the
+    larger label, so the choice never depends on row order; a null time is before all others); it counts even if
     it is unusable.  Deliveries are folded together before the shuffle, so an item that was
     answered very often is no hot key.  Answers with a null item, question or model count for nothing.
     """
+    if not questions.filter(F.size("options") >= MOST_OPTIONS).isEmpty():
+        raise ValueError(f"a question has {MOST_OPTIONS} options or more")
     kinds = questions.filter("question is not null and size(options) > 0").groupBy("question").agg(F.max("options").alias("options"))
+    # Time and label are one number, so that the latest is found by a hash aggregate on plain longs.
+    when = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 53)))
     rows = (
-        answers.select(item, "question", annotator_name(F.col("model")).alias("model"), "probs", "created_at", "loaded_at")
+        answers.select(item, "question", annotator_name(F.col("model")).alias("model"), "probs", "created_at")
         .filter(f"{item} is not null and question is not null and model is not null")
         .join(kinds, "question")
-        .select(item, "question", "model", F.struct("created_at", "loaded_at", usable_label(F.col("probs"), F.col("options")).alias("label")).alias("said"))
+        .select(item, "question", "model", (when * MOST_OPTIONS + F.coalesce(usable_label(F.col("probs"), F.col("options")) + 1, F.lit(0))).alias("said"))
     )
-    latest = rows.groupBy(item, "question", "model").agg(F.max("said").alias("said")).select(item, "question", "model", F.col("said.label").alias("label"))
-    return latest.filter("label is not null").groupBy(item, "question").agg(F.array_sort(F.collect_list(F.struct("model", "label"))).alias("votes"))
+    latest = rows.groupBy(item, "question", "model").agg(F.max("said").alias("said")).select(item, "question", "model", (F.pmod("said", F.lit(MOST_OPTIONS)) - 1).cast("int").alias("label"))
+    return latest.filter("label >= 0").groupBy(item, "question").agg(F.array_sort(F.collect_list(F.struct("model", "label"))).alias("votes"))
 
 
 @dataclass
