@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumdf.llm import bpe, consensus, duplicates, languages, lookalike, overlap, packing, pii
-from quorumdf.llm.chars import LOOKALIKES
+from quorumdf.llm.chars import CASE_ONLY, LOOKALIKES
 from quorumdf.sources.tables import table
 
 
@@ -126,7 +126,27 @@ def _look_sql(column: str) -> str:
     return f"nfc_normalize(translate(nfc_normalize({bare}), '{quote(wide + spaces + odd)}', '{quote(ordinary + ' ' * len(spaces) + plain)}'))"
 
 
+def _bare_sql(column: str) -> str:
+    """Letters, digits and accents of a folded text in lower case; letters alike only as capitals fall together."""
+    odd, plain = "".join(CASE_ONLY.values()), "".join(CASE_ONLY)
+    return f"translate(regexp_replace(replace(replace(lower({column}), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}\\x{{0300}}-\\x{{036F}}]+', '', 'g'), '{odd}', '{plain}')"
+
+
+_FIELD = "^[-*•\\s\"''{{,]*(\\p{{L}}[\\p{{L}}\\p{{N}}_. ]{{0,38}}?)\\s*[:=]\\s*((?s:.*))$".replace("{{", "{").replace("}}", "}")
+
+_CONTENT = f"""
+looks as (select pool_id, regexp_replace({_look_sql("text")}, '^\\s+|\\s+$', '', 'g') as body from pool_labeled where text is not null),
+cut as (select pool_id, body, body like '{{%}}' and json_valid(body) as json, list_filter(regexp_split_to_array(body, '\\s*(?:\\r?\\n|\\r|[|;])\\s*'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as parts from looks),
+forms as (select *, not json and len(parts) > 1 and len(list_filter(parts, lambda x: regexp_matches(x, '{_FIELD}') and len(regexp_split_to_array(trim(regexp_extract(x, '{_FIELD}', 1)), '\\s+')) <= 4)) = len(parts) as form from cut),
+keyed as (select pool_id, case
+  when json then array_to_string(list_sort(list_transform(json_keys(body), lambda k: {_bare_sql("k")} || chr(31) || {_bare_sql("json_extract_string(body, '$.\"' || k || '\"')")})), chr(30))
+  when form then array_to_string(list_sort(list_transform(parts, lambda x: {_bare_sql(f"regexp_extract(x, '{_FIELD}', 1)")} || chr(31) || {_bare_sql(f"regexp_extract(x, '{_FIELD}', 2)")})), chr(30))
+  else {_bare_sql("body")} end as content from forms)
+"""
+
 ORACLES = {
+    "p2_found": f"with {_CONTENT} select keep_id, pool_id as copy_id from (select pool_id, min(pool_id) over (partition by content) as keep_id from keyed) where pool_id <> keep_id",
+    "p2_distinct": f"with {_CONTENT} select min(pool_id) as keep_id, count(*) as copies from keyed group by content union all select pool_id, 1 from pool_labeled where text is null",
     "p1_votes": """
 with kinds as (select question, max(options) as options from questions where len(options) > 0 group by 1),
 rows as (
@@ -143,7 +163,7 @@ labelled as (
 ),
 latest as (
   select pool_id, question, model, label from labelled
-  qualify row_number() over (partition by pool_id, question, model order by created_at desc nulls last, loaded_at desc nulls last, label desc nulls last) = 1
+  qualify row_number() over (partition by pool_id, question, model order by created_at desc nulls last, label desc nulls last) = 1
 )
 select pool_id, question, cast(count(*) as integer) as n, string_agg(model || '=' || label, ',' order by model) as votes
 from latest where label is not null group by 1, 2
