@@ -31,25 +31,36 @@ def shares(ballots: DataFrame, keys: list[str], label: str) -> DataFrame:
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).drop("n")
 
 
-def _sum_vectors(votes: DataFrame, keys: list[str], weight=None) -> DataFrame:
-    """Entry-wise sum of the vectors of a group.  Vectors are spread into rows so that the sums combine before the shuffle."""
+#: Entries up to which vectors are summed as columns of one aggregate.
+WIDE = 64
+
+
+def _sum_vectors(votes: DataFrame, keys: list[str], weight=None, width: int | None = None) -> DataFrame:
+    """Entry-wise sum of the vectors of a group, and their number.
+
+    With a known ``width`` (the most options of any question) each entry is a column of one hash
+    aggregate and a group is shuffled once.  Without, entries become rows, whose sums combine before the shuffle too.
+    """
     w = A.lit(1) if weight is None else weight
+    if width is not None and width <= WIDE:
+        sums = votes.select(*keys, w.alias("w"), "p").groupBy(*keys).agg(F.count("*").cast("int").alias("n"), *[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(width)])
+        return sums.select(*keys, F.filter(F.array(*[F.col(f"s{i}") for i in range(width)]), lambda x: x.isNotNull()).alias("p"), "n")
     flat = votes.select(*keys, w.alias("w"), F.posexplode("p").alias("i", "x"))
     sums = flat.groupBy(*keys, "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.count("*").alias("n"))
     return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"), F.max("n").cast("int").alias("n"))
 
 
-def average(votes: DataFrame, keys: list[str]) -> DataFrame:
+def average(votes: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """(keys, p, n): mean of the available vectors, normalised."""
-    return _sum_vectors(votes, keys).withColumn("p", A.normalise(F.col("p")))
+    return _sum_vectors(votes, keys, width=width).withColumn("p", A.normalise(F.col("p")))
 
 
-def ensemble(votes: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+def ensemble(votes: DataFrame, keys: list[str], weights: dict[str, float], width: int | None = None) -> DataFrame:
     """(keys, p, n): weighted mean of the available vectors; teachers without a weight take no part."""
     mass = sum(weights.values())
     table = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w / mass)])
     known = votes.withColumn("__w", F.element_at(table, F.col("teacher"))).filter("__w is not null")
-    return _sum_vectors(known, keys, F.col("__w")).withColumn("p", A.normalise(F.col("p")))
+    return _sum_vectors(known, keys, F.col("__w"), width).withColumn("p", A.normalise(F.col("p")))
 
 
 def pairwise(votes: DataFrame, item: list[str], question: str = "question") -> DataFrame:
@@ -75,13 +86,13 @@ def status(votes: DataFrame, combined: DataFrame, item: list[str], teachers: int
     return worst.select(*item, F.element_at(F.array(*map(F.lit, ("agree", "unsure", "missing", "split"))), F.col("r") + 1).alias("state"))
 
 
-def influence(votes: DataFrame, item: list[str], teachers: int) -> DataFrame:
+def influence(votes: DataFrame, item: list[str], teachers: int, width: int | None = None) -> DataFrame:
     """(teacher, influence): how far the pooled vector moves when one teacher is left out, as a share of all such moves.
 
     Only items that all teachers answered count.  The vector without a teacher is the sum less its own.
     """
     keys = [*item, "question"]
-    sums = _sum_vectors(votes, keys).filter(F.col("n") == teachers).select(*keys, F.col("p").alias("all"))
+    sums = _sum_vectors(votes, keys, width=width).filter(F.col("n") == teachers).select(*keys, F.col("p").alias("all"))
     met = votes.join(sums, keys)
     rest = A.normalise(F.zip_with("all", "p", lambda a, b: a - b))
     moved = met.groupBy("teacher").agg(F.avg(A.total_variation(A.normalise(F.col("all")), rest)).alias("m"))
@@ -89,9 +100,9 @@ def influence(votes: DataFrame, item: list[str], teachers: int) -> DataFrame:
     return moved.select("teacher", F.when(mass > 0, F.col("m") / mass).otherwise(1.0 / teachers).alias("influence"))
 
 
-def gold_disagreements(votes: DataFrame, gold: DataFrame, keys: list[str], options: DataFrame, most: int = 5) -> DataFrame:
+def gold_disagreements(votes: DataFrame, gold: DataFrame, keys: list[str], options: DataFrame, most: int = 5, width: int | None = None) -> DataFrame:
     """(question, gold, said, n, rank): the most frequent confusions of the pooled answer with the truth."""
-    pooled = average(votes, [*keys, "question"]).withColumn("said", A.argmax(F.col("p")))
+    pooled = average(votes, [*keys, "question"], width).withColumn("said", A.argmax(F.col("p")))
     wrong = pooled.join(gold, [*keys, "question"]).filter("said <> y").groupBy("question", "y", "said").agg(F.count("*").alias("n"))
     ranked = wrong.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("n"), "y", "said"))).filter(F.col("rank") <= most)
     named = ranked.join(options.select("question", "options"), "question")

@@ -68,7 +68,7 @@ select pool_id, question, list(round(x / s + 1e-10, 6) order by i) as p, cast(ma
 
 @query(f"with {S.SQL}, " + _SUMS.format(w="1", join=""))
 def q_average_combine(spark: SparkSession, d: str) -> DataFrame:
-    return V.average(S.votes(spark, d), ["pool_id", "question"]).select("pool_id", "question", _round("p"), "n")
+    return V.average(S.votes(spark, d), ["pool_id", "question"], S.width(spark, d)).select("pool_id", "question", _round("p"), "n")
 
 
 _WEIGHTS = {"heron-2": 3.0, "plover-xl": 2.0, "curlew-mini": 1.0}
@@ -76,7 +76,7 @@ _WEIGHTS = {"heron-2": 3.0, "plover-xl": 2.0, "curlew-mini": 1.0}
 
 @query(f"with {S.SQL}, w as (select * from (values ('heron-2', 0.5), ('plover-xl', 0.3333333333333333), ('curlew-mini', 0.16666666666666666)) as t(teacher, w)), " + _SUMS.format(w="w", join="join w using (teacher)"))
 def q_ensemble_pool(spark: SparkSession, d: str) -> DataFrame:
-    return V.ensemble(S.votes(spark, d), ["pool_id", "question"], _WEIGHTS).select("pool_id", "question", _round("p"), "n")
+    return V.ensemble(S.votes(spark, d), ["pool_id", "question"], _WEIGHTS, S.width(spark, d)).select("pool_id", "question", _round("p"), "n")
 
 
 @query(f"""with {S.SQL}, s as (select pool_id, question, teacher, {_ARG.format("p")} as said from votes)
@@ -92,7 +92,7 @@ r as (select pool_id, max(case when kinds > 1 then 3 when n < 9 then 2 when list
 select ['agree', 'unsure', 'missing', 'split'][r + 1] as state, count(*) as n from r group by 1""")
 def q_pool_status(spark: SparkSession, d: str) -> DataFrame:
     rows = S.votes(spark, d)
-    return V.status(rows, V.average(rows, ["pool_id", "question"]), KEYS, 9).groupBy("state").agg(F.count("*").alias("n"))
+    return V.status(rows, V.average(rows, ["pool_id", "question"], S.width(spark, d)), KEYS, 9).groupBy("state").agg(F.count("*").alias("n"))
 
 
 _THREE = ("curlew-mini", "heron-2", "plover-xl")
@@ -107,7 +107,7 @@ m as (select teacher, avg(m) as m from moved group by 1)
 select teacher, round(m / sum(m) over (), 6) as influence from m""")
 def q_influence(spark: SparkSession, d: str) -> DataFrame:
     rows = S.votes(spark, d).filter(F.col("teacher").isin(*_THREE))
-    return V.influence(rows, KEYS, 3).withColumn("influence", F.round("influence", 6))
+    return V.influence(rows, KEYS, 3, S.width(spark, d)).withColumn("influence", F.round("influence", 6))
 
 
 @query(f"""with {S.SQL},
@@ -116,8 +116,8 @@ w as (select question, y, list_position(list_transform(p, lambda x: round(x / li
 select question, options[y + 1] as gold, options[said + 1] as said, n, row_number() over (partition by question order by n desc, y, said) as rank
 from w join kinds using (question) where said <> y qualify rank <= 5""")
 def q_gold_disagreements(spark: SparkSession, d: str) -> DataFrame:
-    rounded = V.average(S.votes(spark, d), ["pool_id", "question"]).withColumn("p", F.transform("p", lambda x: F.round(x, 12)))
-    out = V.gold_disagreements(rounded.select("pool_id", "question", "p"), S.gold(spark, d), KEYS, S.questions(spark, d))
+    rounded = V.average(S.votes(spark, d), ["pool_id", "question"], S.width(spark, d)).withColumn("p", F.transform("p", lambda x: F.round(x, 12)))
+    out = V.gold_disagreements(rounded.select("pool_id", "question", "p"), S.gold(spark, d), KEYS, S.questions(spark, d), width=S.width(spark, d))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -15,6 +15,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").filter("question is not null").groupBy("question").agg(F.max("kind").alias("kind"), F.max("options").alias("options"))
 
 
+def width(spark: SparkSession, d: str) -> int:
+    """The most options of any question."""
+    return int(questions(spark, d).agg(F.coalesce(F.max(F.size("options")), F.lit(0))).first()[0])
+
+
 def read_probs(probs: Column, options: Column) -> Column:
     """The stored JSON list as a normalised vector; null unless it is finite, of the right length and of positive sum."""
     v = F.from_json(probs, "array<double>")
