@@ -46,10 +46,10 @@ SWITCH = 1.5
 
 _UNIT = re.compile(r"(?<=[.!?…])[\"'»)]*\s+|\s*[\r\n]+\s*")
 _LETTER = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u02af\\u0300-\\u036f\\u0400-\\u052f\\u1e00-\\u1eff]"
-_MARK = "[.,;:!?…\"'()«»¿¡“”„’*>–—-]*"
-#: A whole token of Latin or Cyrillic letters; codes, numbers, paths, handles and pictures are none.
-_WORD = re.compile(rf"(?<!\S){_MARK}({_LETTER}+(?:['’-]{_LETTER}+)*){_MARK}(?!\S)")
-_TOKEN = re.compile(r"\S*\w\S*")
+_MARKS = ".,;:!?…\"'()«»¿¡“”„’*>–—-"
+#: A token of Latin or Cyrillic letters, perhaps compound; codes, numbers, paths, handles and pictures are none.
+_WORD = re.compile(f"{_LETTER}+(?:['’-]{_LETTER}+)*")
+_SOLID = re.compile(r"\w")
 #: A word with one letter four times in a row, or this long, belongs to no language.
 _NOISE = re.compile(r"(.)\1{3}")
 LONGEST_WORD = 60
@@ -64,12 +64,21 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.element_at(table, bare), F.element_at(table, base))
 
 
-def unit_words(unit: str) -> list[str]:
-    """Words of a unit that can tell a language, in lower case."""
-    words = _WORD.findall(unit)
+def unit_words(unit: str) -> tuple[list[str], int]:
+    """Words of a lower-case unit that can tell a language, and the number of its tokens with a letter or digit."""
+    words, tokens = [], 0
+    for token in unit.split():
+        w = token.strip(_MARKS)
+        if not w:
+            continue
+        if w.isalpha() and w.isascii() or _WORD.fullmatch(w):
+            words.append(w)
+            tokens += 1
+        elif _SOLID.search(w):
+            tokens += 1
     if words and (_NOISE.search(unit) or max(map(len, words)) > LONGEST_WORD):
         words = [w for w in words if len(w) <= LONGEST_WORD and not _NOISE.search(w)]
-    return words
+    return words, tokens
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
@@ -83,9 +92,8 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
     out, start = [], 0
     for m in [*_UNIT.finditer(low), None]:
         end = m.start() if m else len(low)
-        piece = low[start:end]
-        words = unit_words(piece)
-        if words and 2 * len(words) > len(_TOKEN.findall(piece)) - (len(words) > 3) * 2:
+        words, tokens = unit_words(low[start:end])
+        if words and 2 * len(words) > tokens - (len(words) > 3) * 2:
             out.append((start, end, words))
         start = m.end() if m else end
     return out
