@@ -145,6 +145,16 @@ def test_personal_items_are_found_and_replaced(spark):
     assert pii.found({"t": (df.filter("false"), "pool_id")}, names.filter("false")).count() == 0
 
 
+def test_tagger_starts_afresh():
+    base = pii.trained()
+    texts = [f"My name is Zora Breman. w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3 for i in range(60)] + [" ".join(f"{a}{b}{c}" for a in "abcdef" for b in "abcdef" for c in "abcdef")]
+    small = pii.Tagger(frozenset())
+    small.features, small.weights, small.moves, small.first, small.most = base.features, base.weights, base.moves, base.first, 40
+    large = pii.Tagger(frozenset())
+    large.features, large.weights, large.moves, large.first = base.features, base.weights, base.moves, base.first
+    assert small.tag(texts) == large.tag(texts) and small.most > 40
+
+
 def test_places_survive_folding():
     text = "Nam​е: Ｚora"
     folded, at = pii.aligned(text)
