@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumdf.functions import arrays as A
 from quorumdf.plans.ranks import running, tile
+from quorumdf.plans.skew import cut, join_groups
 
 
 def stated(df: DataFrame) -> DataFrame:
@@ -85,12 +86,16 @@ def auroc(df: DataFrame, group: list[str], score: str, truth: str) -> DataFrame:
 
 
 def selective(df: DataFrame, group: list[str], coverages: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.5)) -> DataFrame:
-    """(group, coverage, threshold, kept, accuracy): accuracy on the most confident rows, cut at the quantile of the confidence."""
-    rows = df.select(*group, A.top(F.col("p")).alias("conf"), (A.argmax(F.col("p")) == F.col("y")).cast("double").alias("hit"))
-    cuts = rows.groupBy(*group).agg(F.percentile("conf", F.array(*[A.lit(1 - c) for c in coverages])).alias("q"))
-    cuts = cuts.select(*group, F.explode(F.arrays_zip(F.array(*[A.lit(c) for c in coverages]).alias("coverage"), F.col("q").alias("cutoff"))).alias("x")).select(*group, "x.coverage", "x.cutoff")
-    met = rows.join(cuts, group).filter(F.col("conf") >= F.col("cutoff") - 1e-12)
-    return met.groupBy(*group, "coverage").agg(F.min("conf").alias("threshold"), F.count("*").alias("kept"), F.avg("hit").alias("accuracy"))
+    """(group, coverage, threshold, kept, accuracy): accuracy on the most confident rows, cut at the (interpolated) quantile of the confidence."""
+    rows = cut(df.select(*group, A.top(F.col("p")).alias("conf"), (A.argmax(F.col("p")) == F.col("y")).cast("double").alias("hit")))
+    ranked = running(rows, group, [("conf", True)])
+    at = [(F.col("group_n") - 1) * A.lit(1 - c) for c in coverages]
+    value = lambda k: F.max(F.when(F.col("row_no") - 1 == k, F.col("conf")))
+    ends = ranked.groupBy(*group).agg(F.max("group_n").alias("group_n"), *[e for i, x in enumerate(at) for e in (value(F.floor(x)).alias(f"lo{i}"), value(F.ceil(x)).alias(f"hi{i}"))])
+    limits = [F.struct(A.lit(c).alias("coverage"), (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x))).alias("cutoff")) for i, (c, x) in enumerate(zip(coverages, at))]
+    met = join_groups(rows, ends.select(*group, "group_n", F.array(*limits).alias("cuts")), group, "group_n", rows.count())
+    flat = met.select(*group, "conf", "hit", F.inline("cuts")).filter(F.col("conf") >= F.col("cutoff") - 1e-12)
+    return flat.groupBy(*group, "coverage").agg(F.min("conf").alias("threshold"), F.count("*").alias("kept"), F.avg("hit").alias("accuracy"))
 
 
 def confusion(df: DataFrame, labels: DataFrame, gold: str = "gold", said: str = "said") -> DataFrame:

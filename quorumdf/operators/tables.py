@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumdf.functions import arrays as A
 from quorumdf.functions.text import hash_unit, is_blank
+from quorumdf.plans.ranks import running
 
 
 # -- duplicates ------------------------------------------------------------------------------------------------------
@@ -103,12 +104,16 @@ def hash_split(df: DataFrame, fraction: float, seed: int = 42, text: str = "text
     return df.withColumn("split", F.when(hash_unit(F.lit(seed), F.col(text)) < fraction, "test").otherwise("dev"))
 
 
+def _hash_order(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Rows numbered within their label in order of a hash of the key; a label of any size is spread over tasks."""
+    hashed = df.withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256))
+    return running(hashed, [label], [("__h", True), (key, True)]).drop("__h")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """``split``: in each label the ``round(fraction * n)`` rows of smallest hash are test, the rest dev."""
-    w = Window.partitionBy(label)
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    ranked = df.withColumn("__k", F.row_number().over(w.orderBy(order, key))).withColumn("__n", F.count("*").over(w))
-    return ranked.withColumn("split", F.when(F.col("__k") <= F.floor(F.col("__n") * fraction + 0.5), "test").otherwise("dev")).drop("__k", "__n")
+    ranked = _hash_order(df, label, key, seed)
+    return ranked.withColumn("split", F.when(F.col("row_no") <= F.floor(F.col("group_n") * fraction + 0.5), "test").otherwise("dev")).drop("row_no", "group_n")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -127,8 +132,7 @@ def lock_hash(df: DataFrame, text: str = "text", label: str = "label") -> DataFr
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` 0..k-1 dealt round within each label, in order of a hash of the key."""
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1) % k).cast("int"))
+    return _hash_order(df, label, key, seed).withColumn("fold", ((F.col("row_no") - 1) % k).cast("int")).drop("row_no", "group_n")
 
 
 def split_question(gold: DataFrame, keys: list[str]) -> str | None:

@@ -28,7 +28,10 @@ def running(df: DataFrame, group: list[str], order: list[tuple[str, bool]], sums
     shift = parts.select(
         "__part", *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("group_n"), *[F.coalesce(F.sum(f"__s_{new}").over(before), F.lit(0)).alias(f"__b_{new}") for new in sums]
     )
-    joined = rows.join(shift, ["__part", *group])
+    same = F.col("r.__part") == F.col("s.__part")
+    for g in group:  # a null group is a group
+        same &= F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}"))
+    joined = rows.alias("r").join(shift.alias("s"), same).select("r.*", *[F.col(f"s.{c}") for c in shift.columns if c not in ("__part", *group)])
     joined = joined.withColumn("row_no", F.col("row_no") + F.col("__before"))
     for new in sums:
         joined = joined.withColumn(new, F.col(new) + F.col(f"__b_{new}"))
