@@ -7,7 +7,6 @@ tasks instead of landing in one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
