@@ -332,12 +332,18 @@ def _run_tagger(df: DataFrame, tagger: Tagger, make, shape: str, keys: list[str]
     return spread(df, *keys).mapInPandas(run, shape)
 
 
-def found(tables: dict[str, tuple[DataFrame, str]], names: DataFrame, text: str = "text") -> DataFrame:
-    """(table_name, row_id, kind, found): each distinct item of each text of the given tables (frame, id column)."""
+def gathered(tables: dict[str, tuple[DataFrame, str]], text: str = "text") -> DataFrame:
+    """(table_name, row_id, text): all rows of the given tables (frame, id column)."""
     rows = None
     for name, (frame, key) in tables.items():
         one = frame.select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("row_id"), F.col(text).alias("text"))
         rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def found(tables: dict[str, tuple[DataFrame, str]], names: DataFrame, text: str = "text") -> DataFrame:
+    """(table_name, row_id, kind, found): each distinct item of each text of the given tables (frame, id column)."""
+    rows = gathered(tables, text)
 
     def make(part, texts, spans):
         out = []
@@ -348,19 +354,21 @@ def found(tables: dict[str, tuple[DataFrame, str]], names: DataFrame, text: str
     return _run_tagger(rows, tagger_for(names), make, "table_name string, row_id long, kind string, found string", ["row_id"])
 
 
-def redact(df: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(``key``, redacted, items): the text with every item replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME].
+def redact(df: DataFrame, names: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """(``key``, redacted, items), for one key column or several: the text with every item replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME].
 
     A null text stays null; ``items`` counts the replacements.
     """
 
+    keys = [key] if isinstance(key, str) else key
+
     def make(part, texts, spans):
         done = []
         for body, items in zip(texts, spans):
             for a, z, kind in reversed(items):
                 body = f"{body[:a]}[{NAMED[kind].upper()}]{body[z:]}"
             done.append(body)
-        return pd.DataFrame({key: part[key], "redacted": done, "items": [len(x) for x in spans]})
+        return pd.DataFrame({**{k: part[k] for k in keys}, "redacted": done, "items": [len(x) for x in spans]})
 
-    rows = df.select(F.col(key), F.col(text).alias("text"))
-    return _run_tagger(rows, tagger_for(names), make, f"{key} {dict(df.dtypes)[key]}, redacted string, items int", [key])
+    rows, kinds = df.select(*keys, F.col(text).alias("text")), dict(df.dtypes)
+    return _run_tagger(rows, tagger_for(names), make, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", redacted string, items int", keys)

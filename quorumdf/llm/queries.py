@@ -37,13 +37,16 @@ def p2_distinct(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.distinct(table(spark, d, "pool_labeled", "pool_id", "text"))
 
 
+def _personal(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str]]:
+    return {"pool_labeled": (table(spark, d, "pool_labeled", "pool_id", "text"), "pool_id"), "seed_dev": (table(spark, d, "seed_dev", "seed_id", "text"), "seed_id")}
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    tables = {"pool_labeled": (table(spark, d, "pool_labeled", "pool_id", "text"), "pool_id"), "seed_dev": (table(spark, d, "seed_dev", "seed_id", "text"), "seed_id")}
-    return pii.found(tables, table(spark, d, "name_list"))
+    return pii.found(_personal(spark, d), table(spark, d, "name_list"))
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "pool_labeled", "pool_id", "text"), table(spark, d, "name_list"), "pool_id")
+    return pii.redact(pii.gathered(_personal(spark, d)), table(spark, d, "name_list"), ["table_name", "row_id"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

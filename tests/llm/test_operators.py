@@ -145,6 +145,16 @@ def test_personal_items_are_found_and_replaced(spark):
     assert pii.found({"t": (df.filter("false"), "pool_id")}, names.filter("false")).count() == 0
 
 
+def test_every_row_of_both_tables_is_redacted(spark):
+    """Every row, seed_dev's too, comes out once for each time it stands in its table, with a placeholder wherever an item was found."""
+    out = queries.p3_redacted(spark, DATA).collect()
+    want = [("pool_labeled", r["pool_id"]) for r in table(spark, DATA, "pool_labeled", "pool_id").collect()] + [("seed_dev", r["seed_id"]) for r in table(spark, DATA, "seed_dev", "seed_id").collect()]
+    assert sorted((r["table_name"], r["row_id"]) for r in out) == sorted(want)
+    hit = {(r["table_name"], r["row_id"]) for r in queries.p3_found(spark, DATA).collect()}
+    assert {(r["table_name"], r["row_id"]) for r in out if r["items"]} == hit and any(t == "seed_dev" for t, _ in hit)
+    assert all("[" in r["redacted"] for r in out if r["items"])
+
+
 def test_tagger_starts_afresh():
     base = pii.trained()
     texts = [f"My name is Zora Breman. w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3 for i in range(60)] + [" ".join(f"{a}{b}{c}" for a in "abcdef" for b in "abcdef" for c in "abcdef")]
