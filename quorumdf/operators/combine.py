@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quorumdf.functions import arrays as A
 from quorumdf.operators.metrics import soft_confusion
 from quorumdf.operators.tables import folds
+from quorumdf.plans.skew import cut
 
 # Fixed values of the model.
 LEAST_ROWS, STRENGTH, FLOOR, CLIP, FOLDS = 30, 4.0, 0.02, 0.005, 5
@@ -128,26 +129,44 @@ def pattern(votes: DataFrame, keys: list[str], question: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("teacher")), "+").alias("pattern"))
 
 
-def combine_by_pattern(votes: DataFrame, gold: DataFrame, keys: list[str], question: str, k: int, kind: str = "choice", temperature: float = 1.0, most: int = 64) -> DataFrame:
+def combine_by_pattern(votes: DataFrame, gold: DataFrame, keys: list[str], question: str, k: int, kind: str = "choice", temperature: float = 1.0) -> DataFrame:
     """(keys, question, p, n, pattern): rows of one set of answering teachers use a fit on labelled rows that the whole set answered.
 
-    The ``most`` most frequent sets get their own fit; any other set (there are few rows in each) uses the
-    fit of all teachers, restricted to those present.
+    Every set has its own fit.  The labelled rows are summed once per set, teacher and true option; the sums of a set
+    and of all sets that contain it make its fit on the driver, and the fits are broadcast: a row per set and teacher.
     """
-    sets = pattern(votes, keys, question)
-    counted = sets.groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").take(most)
-    tagged = votes.filter(F.col("question") == question).join(sets, keys)
-    out = None
-    own = []
-    for r in counted:
-        names = r["pattern"].split("+")
-        whole = tagged.filter(F.forall(F.array(*map(F.lit, names)), lambda t: F.array_contains(F.split("pattern", r"\+"), t)) & F.col("teacher").isin(names))
-        part = posterior(tagged.filter(F.col("pattern") == r["pattern"]), keys, question, fit(whole, gold, keys, question, k, kind), temperature).withColumn("pattern", F.lit(r["pattern"]))
-        out = part if out is None else out.unionByName(part)
-        own.append(r["pattern"])
-    rest = tagged.filter(~F.col("pattern").isin(own))
-    tail = posterior(rest, keys, question, fit(votes, gold, keys, question, k, kind), temperature).join(sets, keys)
-    return tail if out is None else out.unionByName(tail)
+    from quorumdf.operators.votes import average
+
+    tagged = cut(votes.filter(F.col("question") == question).join(pattern(votes, keys, question), keys))
+    truth = gold.filter(F.col("question") == question)
+    flat = tagged.join(truth, [*keys, "question"]).select("pattern", "teacher", "y", F.posexplode("p").alias("i", "x"))
+    mass: dict[tuple[str, str], np.ndarray] = {}
+    for r in flat.groupBy("pattern", "teacher", "y", "i").agg(F.sum("x").alias("x")).collect():
+        mass.setdefault((r["pattern"], r["teacher"]), np.zeros((k, k)))[r["y"], r["i"]] += r["x"]
+    labelled: dict[str, np.ndarray] = {}
+    for r in truth.join(tagged.select(*keys, "pattern").distinct(), keys).groupBy("pattern", "y").agg(F.count("*").alias("n")).collect():
+        labelled.setdefault(r["pattern"], np.zeros(k))[r["y"]] += r["n"]
+    sets = {r["pattern"]: frozenset(r["pattern"].split("+")) for r in tagged.select("pattern").distinct().collect()}
+    shape = fit_bell if kind == "score" else one_coin
+    fits, plain = [], []
+    for name, teachers in sorted(sets.items()):
+        above = [x for x in labelled if teachers <= sets[x]]
+        count = sum((labelled[x] for x in above), np.zeros(k))
+        if count.sum() < LEAST_ROWS or (count > 0).sum() < 2:
+            plain.append(name)
+            continue
+        prior = np.log((count + 1) / (count.sum() + k)).tolist()
+        for t in sorted(teachers):
+            m = sum((mass[x, t] for x in above if (x, t) in mass), np.zeros((k, k)))
+            fits.append((name, t, np.log(shrink(m, shape(m))).tolist(), prior))
+    table = votes.sparkSession.createDataFrame(fits, "pattern string, teacher string, theta array<array<double>>, prior array<double>")
+    like = F.transform("theta", lambda row: A.total(F.zip_with(row, "p", lambda a, b: a * b)))
+    scored = tagged.join(F.broadcast(table), ["pattern", "teacher"]).select(*keys, "question", "pattern", "prior", like.alias("l"))
+    sums = scored.groupBy(*keys, "question", "pattern", "prior").agg(F.count("*").cast("int").alias("n"), *[F.sum(F.get("l", F.lit(i))).alias(f"l{i}") for i in range(k)])
+    z = F.array(*[F.get("prior", F.lit(i)) + A.lit(temperature) * F.col(f"l{i}") for i in range(k)])
+    fitted = sums.select(*keys, "question", A.softmax(z).alias("p"), "n", "pattern")
+    rest = average(tagged.filter(F.col("pattern").isin(plain)), [*keys, "question", "pattern"])
+    return fitted.unionByName(rest.select(*fitted.columns))
 
 
 def cross_fit(votes: DataFrame, gold: DataFrame, keys: list[str], question: str, k: int, kind: str = "choice", temperature: float = 1.0) -> DataFrame:

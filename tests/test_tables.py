@@ -134,3 +134,30 @@ def test_demo_is_stable(spark):
 
     a, b = tickets(spark, 50), tickets(spark, 50).repartition(7)
     assert sorted(a.collect()) == sorted(b.collect()) and a.select("label").distinct().count() == 3 and a.filter("text like '%{}%'").count() == 0
+
+
+def test_every_set_of_teachers_has_its_own_fit(spark):
+    import itertools
+    import random
+
+    from quorumdf.operators.combine import combine_by_pattern
+
+    r, rows, gold = random.Random(5), [], []
+    names = "abcdefg"
+    subsets = [c for n in range(1, 8) for c in itertools.combinations(names, n)]
+    for i, c in enumerate(subsets * 2):
+        y = r.randrange(3)
+        gold.append((i, "q", y))
+        for j, t in enumerate(c):
+            said = y if r.random() < 0.3 + 0.08 * j + 0.05 * len(c) else r.randrange(3)
+            rows.append((i, "q", t, [0.8 if o == said else 0.1 for o in range(3)], "+".join(c)))
+    votes = spark.createDataFrame(rows, "id int, question string, teacher string, p array<double>, own string").cache()
+    gold = spark.createDataFrame(gold, "id int, question string, y int").cache()
+    got = {x["id"]: x for x in combine_by_pattern(votes.drop("own"), gold, ["id"], "q", 3).collect()}
+    assert len(got) == 2 * len(subsets) and len({x["pattern"] for x in got.values()}) == 127
+    for name in ("a", "f+g", "c+e+g"):
+        own = name.split("+")
+        whole = votes.filter(F.forall(F.array(*map(F.lit, own)), lambda t: F.array_contains(F.split("own", "[+]"), t)) & F.col("teacher").isin(own)).drop("own")
+        for x in posterior(votes.filter(F.col("own") == name).drop("own"), ["id"], "q", fit(whole, gold, ["id"], "q", 3)).collect():
+            assert got[x["id"]]["pattern"] == name and got[x["id"]]["n"] == x["n"]
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got[x["id"]]["p"], x["p"]))
