@@ -65,16 +65,21 @@ def fold(text: str) -> str:
     """
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFD", text)
-    if _JOINER in text:
-        parts = text.split(_JOINER)
-        kept = parts[0]
-        for left, right in zip(parts, parts[1:]):
-            tight = left and right and _PICTURE.match(left[-1]) and _PICTURE.match(right[0])
-            kept += ("\ufdd0" if tight else "") + right
-        text = kept
-    out = unicodedata.normalize("NFC", text.translate(_FOLDS))
-    return out.replace("\ufdd0", _JOINER)
+    out = joined(unicodedata.normalize("NFD", text)).replace(_JOINER, "\ufdd0")
+    return unicodedata.normalize("NFC", out.translate(_FOLDS)).replace("\ufdd0", _JOINER)
+
+
+def joined(text: str) -> str:
+    """The text without zero-width joiners, except between two pictures, where one changes the picture."""
+    if _JOINER not in text:
+        return text
+    first, *rest = text.split(_JOINER)
+    kept, left = first, first
+    for right in rest:
+        tight = left and right and _PICTURE.match(left[-1]) and _PICTURE.match(right[0])
+        kept += (_JOINER if tight else "") + right
+        left = right
+    return kept
 
 
 def content_fold(folded: str) -> str:

@@ -199,6 +199,37 @@ def test_trie_automaton():
     assert lookalike.canonical("сорт", {"сорт": 0}) == "сорт" and lookalike.canonical("ｘ", {}) == "x"
 
 
+def test_automaton_reads_what_the_table_cannot():
+    """A sign drawn like two letters, and a sign drawn like two different ones: the vocabulary decides, where the table knows one reading or none."""
+    trie = lookalike.Trie(["lamp", "Item", "ijs", "VIII", "džem"])
+    for token, word in (("\u04c0amp", "lamp"), ("\u04c0tem", "Item"), ("\u04cftem", "Item"), ("\u0133s", "ijs"), ("\u2167", "VIII"), ("\u01c6em", "džem")):
+        assert trie.search(token) == {word: 0} and lookalike.canonical(token, trie.search(token)) == word and lookalike.skeleton(token) == lookalike.skeleton(word)
+        assert (fold(token) == word) == (token == "\u04c0tem")
+    both = lookalike.Trie(["lamp", "Iamp"])
+    assert both.search("\u04c0amp") == {"lamp": 0, "Iamp": 0} and lookalike.canonical("\u04c0amp", both.search("\u04c0amp")) == "Iamp"
+    assert trie.search("lteм") == {} and trie.search("iamp") == {}
+
+
+def test_pairs_by_hand(spark):
+    """Written out, apart from the character table: what looks the same and what does not."""
+    rows = ["Refund 12", "Rеfund 12", "Ｒefund １２", "Re\u200bfund 12", "Refund\u00a012", "refund 12", "Refund  12", "Refund 12.", "Réfund 12", "Re\u0301fund 12", "Ref\u00adund 13", "Refund 13", "lamp", "\u04c0amp", "\ufb01le", "file", "ijs", "\u0133s"]
+    groups = ({0, 1, 2, 3, 4}, {8, 9}, {10, 11}, {12, 13}, {14, 15}, {16, 17})
+    want = {(a, b) for g in groups for a, b in itertools.combinations(sorted(g), 2)}
+    got = {tuple(x) for x in lookalike.pairs(frame(spark, list(enumerate(rows)), "pool_id long, text string")).collect()}
+    assert got == want
+
+
+def test_pairs_of_a_hot_text_are_whole_by_both_ways(spark, monkeypatch):
+    rows = [(i, "one text") for i in range(400)] + [(400, "onе text"), (401, "оne text"), (402, "onе text")]
+    df = frame(spark, rows, "pool_id long, text string")
+    want = {(a, b) for a in range(400) for b in (400, 401, 402)} | {(400, 401), (401, 402)}
+    for few in (lookalike.FEW, 0):
+        monkeypatch.setattr(lookalike, "FEW", few)
+        monkeypatch.setattr(lookalike, "TRIE_WORDS", 2)
+        got = [tuple(x) for x in lookalike.pairs(df, per_salt=50).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_pairs_equal_brute_force(spark):
     words = ["Order", "for", "café", "сорт", "12", "team", "naïve"]
     r, odd = random.Random(6), {"o": "оο", "e": "е", "a": "аɑ", "c": "с", "р": "p", "1": "１", "m": "ｍ"}
