@@ -20,7 +20,7 @@ CASE_ONLY = {"b": "в", "h": "н", "k": "к", "m": "м", "t": "т"}
 
 _TO_LATIN = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
 _CASE_TO_LATIN = {ord(c): latin for latin, others in CASE_ONLY.items() for c in others}
-_JOINER = "\u200d"
+JOINER = "\u200d"
 _PICTURE = re.compile("[←-⯿\U0001f000-\U0001faff\ufe0f]")
 
 
@@ -29,7 +29,7 @@ def fold_char(c: str) -> str:
     """What one character of a decomposed text becomes; '' for an invisible one."""
     if c < "\x80":
         return c
-    if c == _JOINER:
+    if c == JOINER:
         return c  # decided by its neighbours in fold()
     kind = unicodedata.category(c)
     if kind == "Cf" or "\ufe00" <= c <= "\ufe0f" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0":
@@ -65,19 +65,19 @@ def fold(text: str) -> str:
     """
     if text.isascii():
         return text
-    out = joined(unicodedata.normalize("NFD", text)).replace(_JOINER, "\ufdd0")
-    return unicodedata.normalize("NFC", out.translate(_FOLDS)).replace("\ufdd0", _JOINER)
+    out = joined(unicodedata.normalize("NFD", text)).replace(JOINER, "\ufdd0")
+    return unicodedata.normalize("NFC", out.translate(_FOLDS)).replace("\ufdd0", JOINER)
 
 
 def joined(text: str) -> str:
     """The text without zero-width joiners, except between two pictures, where one changes the picture."""
-    if _JOINER not in text:
+    if JOINER not in text:
         return text
-    first, *rest = text.split(_JOINER)
+    first, *rest = text.split(JOINER)
     kept, left = first, first
     for right in rest:
         tight = left and right and _PICTURE.match(left[-1]) and _PICTURE.match(right[0])
-        kept += (_JOINER if tight else "") + right
+        kept += (JOINER if tight else "") + right
         left = right
     return kept
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import combining, normalize
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumdf.llm.chars import fold
+from quorumdf.llm.chars import JOINER, fold, joined
 from quorumdf.plans.skew import cut, spread
 
 LANGUAGES = ("de", "en", "es", "fr", "nl", "pt", "ru")
@@ -40,7 +41,7 @@ PROFILE = 3000
 #: Lengths of the n-grams.
 GRAMS = (2, 3)
 #: Characters that are compared in one go.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 150_000
 #: Cost of a change of language inside a document, in n-grams that would have to be fully out of place.
 SWITCH = 1.5
 
@@ -64,21 +65,28 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.element_at(table, bare), F.element_at(table, base))
 
 
+class _Tokens(dict):
+    """Lower-case token to its word if it has one that can tell a language, '' for another token with a letter or digit, None for any other."""
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) > 500_000:
+            self.clear()
+        w = token.strip(_MARKS)
+        if w and (w.isalpha() and w.isascii() or _WORD.fullmatch(w)):
+            word = "" if len(w) > LONGEST_WORD or _NOISE.search(w) else w
+        else:
+            word = "" if _SOLID.search(w) else None
+        self[token] = word
+        return word
+
+
+_TOKENS = _Tokens()
+
+
 def unit_words(unit: str) -> tuple[list[str], int]:
     """Words of a lower-case unit that can tell a language, and the number of its tokens with a letter or digit."""
-    words, tokens = [], 0
-    for token in unit.split():
-        w = token.strip(_MARKS)
-        if not w:
-            continue
-        if w.isalpha() and w.isascii() or _WORD.fullmatch(w):
-            words.append(w)
-            tokens += 1
-        elif _SOLID.search(w):
-            tokens += 1
-    if words and (_NOISE.search(unit) or max(map(len, words)) > LONGEST_WORD):
-        words = [w for w in words if len(w) <= LONGEST_WORD and not _NOISE.search(w)]
-    return words, tokens
+    found = [_TOKENS[t] for t in unit.split()]
+    return [w for w in found if w], len(found) - found.count(None)
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
@@ -100,8 +108,6 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def _plain(word: str) -> str:
-    from unicodedata import combining, normalize
-
     return word if word.isascii() else "".join(c for c in normalize("NFD", word) if not combining(c))
 
 
@@ -110,6 +116,23 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
 
 
+class _WordGrams(dict):
+    """Word to the numbers of its n-grams that stand in some profile."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) > 300_000:
+            self.clear()
+        ids = self[word] = np.array([i for g in grams(word) if (i := self.index.get(g)) is not None], np.int64)
+        return ids
+
+    def __reduce__(self):
+        return _WordGrams, (self.index,)  # the words themselves are not sent along
+
+
 class Profiles:
     """Profiles of all languages as one table: the place of each n-gram in each of them, n-grams in order of their best place."""
 
@@ -119,18 +142,11 @@ class Profiles:
         for gram, place in zip(table["gram"], table["place"]):
             best[gram] = min(best.get(gram, PROFILE), place)
         self.index = {g: i for i, g in enumerate(sorted(best, key=lambda g: (best[g], g)))}
-        self.places = np.full((len(best), len(languages)), np.inf, np.float32)
+        self.places = np.full((len(best), len(languages)), 2 * PROFILE, np.int16)
         for lang, gram, place in zip(table["lang"], table["gram"], table["place"]):
             self.places[self.index[gram], languages.index(lang)] = place
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _ids(self, word: str) -> np.ndarray:
-        ids = self.cache.get(word)
-        if ids is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            ids = self.cache[word] = np.array([i for g in grams(word) if (i := self.index.get(g)) is not None], np.int64)
-        return ids
+        self.cache = _WordGrams(self.index)
+
 
     def costs(self, found: list[list[str]]) -> np.ndarray:
         """(unit, language): out-of-place distance of each unit, in n-grams fully out of place.
@@ -138,29 +154,35 @@ class Profiles:
         A unit's n-grams are ranked by falling count, equal ones by their best place in any profile; a known
         n-gram that a profile lacks is fully out of place.  All units are ranked together.
         """
-        n, width = len(found), len(self.languages)
+        n, width, size = len(found), len(self.languages), max(1, len(self.index))
         out = np.zeros((n, width))
-        arrays = [self._ids(w) for words in found for w in words]
+        known = self.cache
+        arrays = [known[w] for words in found for w in words]
         if not arrays or not len(self.index):
             return out
         sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
         unit_of_word = np.repeat(np.arange(n), [len(words) for words in found])
-        key, count = np.unique(np.repeat(unit_of_word, sizes) * len(self.index) + np.concatenate(arrays), return_counts=True)
+        key = np.repeat(unit_of_word * size, sizes) + np.concatenate(arrays)
         if not len(key):
             return out
-        unit, gram = key // len(self.index), key % len(self.index)
+        key.sort()
+        fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(fresh, len(key)))
+        unit, gram = np.divmod(key[fresh], size)
         start = np.searchsorted(unit, np.arange(n))
         # Entries stand by unit and best place.  Those counted once follow the others of their unit in that order.
         many = count > 1
         several = np.bincount(unit[many], minlength=n)
         once = np.cumsum(~many)
-        rank = several[unit] + once - 1 - np.concatenate([[0], once])[start][unit]
+        rank = once - 1 + (several - np.concatenate([[0], once])[start])[unit]
         at = np.flatnonzero(many)
         order = at[np.lexsort((gram[at], -count[at], unit[at]))]
         rank[order] = np.arange(len(order)) - (np.cumsum(several) - several)[unit[order]]
-        apart = np.minimum(np.abs(self.places[gram] - np.minimum(rank, PROFILE).astype(np.float32)[:, None]), PROFILE) / PROFILE
+        apart = self.places[gram]
+        apart -= np.minimum(rank, PROFILE).astype(np.int16)[:, None]
+        np.minimum(np.abs(apart, out=apart), PROFILE, out=apart)
         used = np.unique(unit)
-        out[used] = np.add.reduceat(apart, start[used], axis=0)
+        out[used] = np.add.reduceat(apart, start[used], axis=0, dtype=np.int64) / PROFILE
         return out
 
 
@@ -171,6 +193,30 @@ def _sentences(text: str | None) -> tuple[str, list[tuple[int, int, list[str]]]]
     return text, units(text)
 
 
+def origins(text: str) -> list[int]:
+    """For each character of the folded text, and for its end, the place in the text that it comes from.
+
+    The text is folded by base characters with their accents, which fold independently; only a joiner depends on its neighbours.
+    """
+    at: list[int] = []
+    start, kept = 0, joined(text)
+    places = [i for i, c in enumerate(text) if c != JOINER] if len(kept) != len(text) else range(len(text))
+    if len(places) != len(kept):  # joiners between pictures stay: match them in order
+        places, i = [], 0
+        for c in kept:
+            while text[i] != c:
+                i += 1
+            places.append(i)
+            i += 1
+    while start < len(kept):
+        end = start + 1
+        while end < len(kept) and combining(kept[end]):
+            end += 1
+        at += [places[start]] * (len(fold(kept[start:end])) if kept[start] != JOINER else 1)
+        start = end
+    return [*at, len(text)]
+
+
 def path(costs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The language of each unit on the cheapest way through a document's units, each change costing ``switch``."""
     first = costs.argmin(axis=1)
@@ -204,7 +250,6 @@ def paths(profiles: Profiles, texts) -> Iterator[tuple[int, list[tuple[int, int,
 
     for number, text in enumerate(texts):
         found = _sentences(text)[1]
-        found = [u for u in found if len(u[2]) > 1] or found
         if found:
             held.append((number, found))
             size += len(text)
@@ -241,16 +286,37 @@ def _top(words: DataFrame) -> pd.DataFrame:
     return ngrams.withColumn("place", place - 1).filter(F.col("place") < PROFILE).select("lang", "gram", "place").toPandas()
 
 
+def _hash_limits(labelled: DataFrame, sample: int) -> dict[str, int]:
+    """The ``sample``-th smallest hash of each language, the largest if it has fewer documents.
+
+    A share of the hashes that holds somewhat more than the sample is read off the counts, so that neither a window nor a task
+    ever holds a language's documents; it is doubled until it does hold them.
+    """
+    counts = {r[0]: r[1] for r in labelled.groupBy("__lang").agg(F.count("*")).collect()}
+    limits, share = {}, 1.5
+    while counts:
+        near = F.lit(False)
+        for code, n in counts.items():
+            near |= (F.col("__lang") == code) & (F.col("__hash") <= F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * share * (sample + 20) / n))))
+        for code, hashes in labelled.filter(near).toPandas().groupby("__lang")["__hash"]:
+            if len(hashes) >= min(sample, counts[code]):
+                limits[code] = int(np.sort(hashes.to_numpy())[min(sample, counts.pop(code)) - 1])
+        share *= 2
+    return limits
+
+
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Profiles:
-    """Profiles from labelled documents, at most ``sample`` whole documents of each language.
+    """Profiles from labelled documents, at most ``sample`` whole documents of each language, those of the smallest hashes of their id.
 
     Labels may be wrong and documents mixed, so it is done twice: the second profiles count only units
     that the first ones, too, put into the labelled language.  Words without their accents count along.
     """
-    labelled = documents.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), label_language(F.col(lang)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang is not null")
-    picked = labelled.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= sample).select("id", "lang")
-    # At most ``sample`` ids a language are broadcast to fetch their texts; no text is shuffled to be chosen.
-    texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("text", "lang")
+    known = documents.filter(F.col(text).isNotNull()).withColumn("__lang", label_language(F.col(lang))).filter("__lang is not null").withColumn("__hash", F.xxhash64(key))
+    limits = _hash_limits(known.select("__lang", "__hash"), sample)
+    within = F.lit(False)
+    for code, most in limits.items():
+        within |= (F.col("__lang") == code) & (F.col("__hash") <= F.lit(most))
+    texts = known.filter(within).select(F.col(text).alias("text"), F.col("__lang").alias("lang"))
     chosen = cut(texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "text"))
 
     def count(profiles: Profiles | None):
@@ -276,21 +342,22 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def stretches(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, seg_no, lang, start, end, letters, confidence) of each stretch in one language, numbered from 1.
 
-    ``start`` and ``end`` are offsets in the text's folded form.  Texts without language (null, empty,
+    ``start`` and ``end`` are places in the text itself.  Texts without language (null, empty,
     blank, codes, logs, pictures) have no row.  ``confidence`` compares the distance of the language with that of the next best.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            ids = list(frame[key])
-            for number, solid, best, costs in paths(profiles, frame["text"]):
-                rid = ids[number]
+            ids, bodies = list(frame[key]), list(frame["text"])
+            for number, solid, best, costs in paths(profiles, bodies):
+                rid, body = ids[number], bodies[number]
+                place = range(len(body) + 1) if body.isascii() or fold(body) == body else origins(body)
                 edges = np.flatnonzero(np.diff(best)) + 1
                 for no, part in enumerate(np.split(np.arange(len(best)), edges), 1):
                     cost = costs[part].sum(axis=0)
                     size = sum(len(w) for i in part for w in solid[i][2])
-                    rows.append((rid, no, profiles.languages[best[part[0]]], solid[part[0]][0], solid[part[-1]][1], size, _confidence(cost, best[part[0]], size)))
+                    rows.append((rid, no, profiles.languages[best[part[0]]], place[solid[part[0]][0]], place[solid[part[-1]][1]], size, _confidence(cost, best[part[0]], size)))
             yield pd.DataFrame(rows, columns=[key, "seg_no", "lang", "start", "end", "letters", "confidence"])
 
     rows = spread(documents.select(F.col(key), F.col(text).alias("text")), key)

@@ -93,7 +93,13 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.assign(table(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id", "labelled", "lang", "confidence", F.size("stretches").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_votes, p2_found, p2_distinct, p3_found, p3_redacted, p4_found, p4_normal, p5_found, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_languages)}
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language of every document, with its place in the text and its confidence."""
+    documents = table(spark, d, "documents", "doc_id", "text", "lang")
+    return languages.stretches(documents, languages.fit(documents)).withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_votes, p2_found, p2_distinct, p3_found, p3_redacted, p4_found, p4_normal, p5_found, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_languages, p8_segments)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 

@@ -374,6 +374,34 @@ def test_documents_and_stretches(spark, profiles):
     assert languages.assign(df.filter("false"), profiles).count() == 0
 
 
+def test_stretches_lie_in_the_text_itself(spark, profiles):
+    en, de = "The parcel has not arrived, no\u200bbody answered my ｌｅｔｔｅｒ.", "Das Paket ist leider nicht a\u0308hnlich und ﬁndet sich nicht."
+    text = f"\ufeff {en} {en}\n{de}  👨\u200d👩 {de}"
+    got = languages.stretches(frame(spark, [(1, text)], "doc_id long, text string"), profiles).orderBy("seg_no").collect()
+    assert [r["lang"] for r in got] == ["en", "de"] and all(0 <= r["confidence"] <= 1 for r in got)
+    assert [text[r["start"] : r["end"]].strip("\ufeff ") for r in got] == [f"{en} {en}", f"{de}  👨\u200d👩 {de}"]
+    at = languages.origins("e\u0301ﬁ\u200bx👨\u200d👩")
+    assert at == [0, 2, 2, 4, 5, 6, 7, 8]
+
+
+def test_a_single_word_is_a_stretch_if_it_says_enough(spark, profiles):
+    en = "The parcel has not arrived and nobody answered my letter."
+    got = languages.stretches(frame(spark, [(1, f"{en}\nЗдравствуйте\n{en}"), (2, f"{en}\nok\n{en}")], "doc_id long, text string"), profiles).collect()
+    assert sorted((r["doc_id"], r["seg_no"], r["lang"]) for r in got) == [(1, 1, "en"), (1, 2, "ru"), (1, 3, "en"), (2, 1, "en")]
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, "de").otherwise("en").alias("__lang"), F.xxhash64("id").alias("__hash"))
+    hashes = {}
+    for r in rows.collect():
+        hashes.setdefault(r[0], []).append(r[1])
+    for sample in (1, 30, 300, 10_000):
+        assert languages._hash_limits(rows, sample) == {k: sorted(v)[min(sample, len(v)) - 1] for k, v in hashes.items()}
+    assert languages._hash_limits(rows.filter("false"), 10) == {}
+
+
 def test_labels_agree_with_profiles(spark, profiles):
     """Most labels of the table are right, so most must agree."""
     got = languages.assign(table(spark, DATA, "documents", "doc_id", "text", "lang"), profiles).filter("labelled is not null and lang is not null")
