@@ -10,7 +10,7 @@ up two options is then informative.  Annotators that repeat another's errors sha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,11 @@ ECHO = 0.5
 ECHO_ROUNDS = 8
 MOST_OPTIONS = 512
 #: Model parameters are kept on the driver; they grow with annotators times squared options, not with data.
-MOST_ANNOTATORS = 20_000
+MOST_ANNOTATORS = 2_000
+#: Questions times annotators times squared options, at most; more is an error.
+MOST_CELLS = 4_000_000
+#: Items that two annotators must both have answered before one can be found to echo the other.
+LEAST_COMMON = 30
 
 
 def annotator_name(column: Column) -> Column:
@@ -83,7 +87,7 @@ class Model:
     seen: np.ndarray  # (question, annotator)
     echo: np.ndarray  # group of each annotator
     rounds: int = 0
-    pairs: dict = field(default_factory=dict)
+    plain: bool = False  # guesses that do not depend on the true option, no echoes
 
     @property
     def chance(self) -> np.ndarray:
@@ -160,7 +164,7 @@ def _step(model: Model, total: np.ndarray) -> float:
     allowed = (model.share > 0)[:, None, :] * 1.0
     overall = (guessed.sum(axis=2) + 0.1) * allowed
     overall /= overall.sum(axis=-1, keepdims=True)
-    guess = guessed + GUESS_PULL * overall[:, :, None, :]
+    guess = guessed * (not model.plain) + GUESS_PULL * overall[:, :, None, :]
     model.guess = guess / guess.sum(axis=-1, keepdims=True)
     change = float(np.abs(competence - model.competence).max(initial=0.0))
     model.competence, model.seen = competence, seen
@@ -179,14 +183,16 @@ def _echo_groups(n: int, pairs: pd.DataFrame) -> np.ndarray:
         return x
 
     excess = (pairs["same"] - pairs["expected"]) / np.maximum(pairs["n"] - pairs["expected"], 1e-9)
-    for a, b in pairs.loc[(excess >= ECHO) & (pairs["n"] >= 30), ["a", "b"]].to_numpy():
+    for a, b in pairs.loc[(excess >= ECHO) & (pairs["n"] >= LEAST_COMMON), ["a", "b"]].to_numpy():
         group[root(int(b))] = root(int(a))
     return np.array([root(x) for x in range(n)])
 
 
-def fit(voted: DataFrame, questions: DataFrame, iterations: int = ITERATIONS) -> Model:
+def fit(voted: DataFrame, questions: DataFrame, iterations: int = ITERATIONS, plain: bool = False) -> Model:
     """Fit the mixture to ``voted`` (see :func:`votes`) by full passes over all items.
 
+    ``plain`` is the textbook form: an annotator's guesses do not depend on the true option and every vote counts alike.
+
     Items with the same votes are one weighted row, combined before the shuffle.  A pass sends back
     one sum per parameter; neither items nor posteriors reach the driver.
     """
@@ -196,9 +202,10 @@ def fit(voted: DataFrame, questions: DataFrame, iterations: int = ITERATIONS) ->
     if len(names) > MOST_ANNOTATORS:
         raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
     model = start(sorted(kinds), names, [kinds[q] for q in sorted(kinds)])
+    model.plain = plain
     coded = cut(code(patterns, model, "n"))
     for k in range(iterations):
-        if k == ECHO_ROUNDS:
+        if k == ECHO_ROUNDS and not plain:
             pairs = coded.mapInPandas(_pair_counts(model), "a int, b int, n double, same double, expected double").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "same", "expected"))).toPandas()
             model.echo = _echo_groups(len(names), pairs)
         sums = coded.mapInPandas(_counts(model), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
@@ -214,6 +221,8 @@ def fit(voted: DataFrame, questions: DataFrame, iterations: int = ITERATIONS) ->
 def start(questions: list[str], annotators: list[str], options: list[list[str]]) -> Model:
     most = max(map(len, options), default=1)
     q, j = len(questions), len(annotators)
+    if q * j * most * most > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of questions, annotators and squared options")
     share = np.array([[1.0 / len(o)] * len(o) + [0.0] * (most - len(o)) for o in options]).reshape(q, most)
     guess = np.broadcast_to(share[:, None, None, :], (q, j, most, most)).copy()
     return Model(questions, annotators, options, share, np.full((q, j), 0.5), guess, np.zeros((q, j)), np.arange(j))
@@ -263,17 +272,20 @@ def decide(voted: DataFrame, model: Model, item: str = "pool_id") -> DataFrame:
     return code(voted, model, item).mapInPandas(run, shape)
 
 
-def consensus(answers: DataFrame, questions: DataFrame, item: str = "pool_id") -> DataFrame:
-    """The agreed option of every item and question with a usable answer, see :func:`decide`."""
+def consensus(answers: DataFrame, questions: DataFrame, item: str = "pool_id", plain: bool = False) -> DataFrame:
+    """The agreed option of every item and question with a usable answer, see :func:`decide` and, for ``plain``, :func:`fit`."""
     voted = cut(votes(answers, questions, item))
-    return decide(voted, fit(voted, questions), item)
+    return decide(voted, fit(voted, questions, plain=plain), item)
 
 
 def reliability(answers: DataFrame, questions: DataFrame, item: str = "pool_id") -> DataFrame:
-    """(question, model, competence, accuracy, guesses, answers, echo_of): what the fit says of each annotator.
+    """(question, model, reliability, accuracy, guesses, answers, echo_of): what the fit says of each annotator.
 
-    ``competence`` is the share of truthful labels, ``accuracy`` the chance of a right label,
-    ``guesses`` the distribution of labels that were guessed, ``echo_of`` the first of the annotators that vote as one with it.
+    ``accuracy`` is the chance of a right label and ``reliability`` how far it is above that of an annotator who says the same
+    labels without looking (1: always right, 0: no better than that, below 0: worse).  Both come from the chances of each label
+    given the true option, which the votes identify; how these split into competence and guesses is not identified where guesses
+    may depend on the true option, so no competence is reported.  ``guesses`` is the distribution of labels that were guessed,
+    ``echo_of`` the first of the annotators that vote as one with it; below ``LEAST_COMMON`` common items no echo is looked for.
     """
     voted = cut(votes(answers, questions, item))
     model = fit(voted, questions)
@@ -283,6 +295,8 @@ def reliability(answers: DataFrame, questions: DataFrame, item: str = "pool_id")
         for j, name in enumerate(model.annotators):
             if model.seen[i, j] > 0:
                 right = float(model.share[i, :k] @ model.chance[i, j].diagonal()[:k])
+                said = (model.share[i][:, None] * model.chance[i, j]).sum(axis=0)[:k]
+                luck = float(model.share[i, :k] @ said)
                 guesses = (model.share[i][:, None] * model.guess[i, j]).sum(axis=0)[:k]
-                rows.append((q, name, float(model.competence[i, j]), right, [float(x) for x in guesses], int(round(model.seen[i, j])), model.annotators[model.echo[j]]))
-    return answers.sparkSession.createDataFrame(rows, "question string, model string, competence double, accuracy double, guesses array<double>, answers long, echo_of string")
+                rows.append((q, name, (right - luck) / max(1e-9, 1 - luck), right, [float(x) for x in guesses], int(round(model.seen[i, j])), model.annotators[model.echo[j]]))
+    return answers.sparkSession.createDataFrame(rows, "question string, model string, reliability double, accuracy double, guesses array<double>, answers long, echo_of string")

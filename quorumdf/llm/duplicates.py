@@ -78,23 +78,23 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("id", F.coalesce(plain, _canonical(F.when(F.col("slow"), F.col("t")))).alias("content"))
 
 
-def collapse(df: DataFrame, key: str = "pool_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, key: str = "pool_id", text: str = "text", hashed=F.md5) -> tuple[DataFrame, DataFrame]:
     """(members, contents): ``members(id, group)`` of every row and ``contents(group, keep_id, copies)``.
 
-    Contents are told apart by 128 bits (MD5).  A group in which a second 64-bit hash of the
-    content is not the same throughout is a collision: its rows get the full content as
-    key.  Null texts have no content and belong to no group; texts without any letter or digit
+    Contents are told apart by 128 bits (``hashed``, MD5).  A group in which a second 64-bit hash of the
+    content is not the same throughout is a collision: its rows get the whole content as key.  Null texts have no content and belong to no group; texts without any letter or digit
     (the empty one too) are one content.
     """
     rows = cut(
-        keyed(df, key, text).filter("content is not null").select("id", F.md5("content").alias("group"), F.xxhash64("content").alias("proof"))
+        keyed(df, key, text).filter("content is not null").select("id", hashed(F.col("content")).alias("group"), F.xxhash64("content").alias("proof"))
     )
     sums = rows.groupBy("group").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
     sums = cut(sums.filter("copies > 1"))
     clash = sums.filter("lo <> hi")
-    if not clash.isEmpty():  # widen the key where two contents met
-        split = rows.join(clash.select("group"), "group", "left_semi").withColumn("group", F.concat("group", F.lit("-"), F.hex("proof")))
-        rows = cut(rows.join(clash.select("group"), "group", "left_anti").unionByName(split))
+    if not clash.isEmpty():  # where two contents met, the content itself is the key
+        met = keyed(df, key, text).filter("content is not null").withColumn("group", hashed(F.col("content"))).join(clash.select("group"), "group", "left_semi")
+        split = met.select("id", F.concat("group", F.lit("-"), "content").alias("group"))
+        rows = cut(rows.join(clash.select("group"), "group", "left_anti").select("id", "group").unionByName(split))
         sums = cut(rows.groupBy("group").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).filter("copies > 1"))
     return rows.select("id", "group"), sums.select("group", "keep_id", "copies")
 

@@ -3,7 +3,7 @@
 Every text is the set of its distinct lower-case words, each a shingle of its own.  Words are put into one
 total order, rarest first by how many evaluation records hold them.  Two sets of similarity t share
 a word within the first n - ceil(t * n) + 1 words of either, so only those prefixes are indexed and
-probed.  What meets is filtered by length, by position and by a 128-bit parity signature, whose distance
+probed, and of a training prefix only the words that stand in some evaluation prefix.  What meets is filtered by length, by position and by a 128-bit parity signature, whose distance
 is never more than that of the sets, and the survivors are verified on their whole word sets.
 """
 
@@ -25,6 +25,8 @@ from quorumdf.plans.skew import cut, join_groups
 WORD = re.compile(r"\w+")
 #: Size of the table of word frequencies that is broadcast: 4 bytes each, whatever the data.
 BUCKETS = 1 << 20
+#: Bits of the table of words in evaluation prefixes that is broadcast: 2 MB, whatever the data.
+MARKS = 1 << 24
 #: Candidate pairs up to which they are broadcast to fetch their texts; beyond that the texts are shuffled.
 FEW_PAIRS = 200_000
 
@@ -81,9 +83,33 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.packbits(bits.astype(np.uint8)).view(np.int64))
 
 
-def _prefixes(frequency, least: float):
+def _ordered(hashes: np.ndarray, table: np.ndarray, least: float) -> np.ndarray:
+    """The prefix: the first words in the total order, rarest in the evaluation records first."""
+    return hashes[np.lexsort((hashes, table[hashes & (BUCKETS - 1)]))[: prefix_length(len(hashes), least)]]
+
+
+def _mark(frequency, least: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(MARKS, bool)
+        for frame in frames:
+            for text in frame["text"]:
+                if text and len(hashes := _hashes(text)):
+                    seen[_ordered(hashes, frequency.value, least) & (MARKS - 1)] = True
+        yield pd.DataFrame({"mark": np.flatnonzero(seen).astype(np.int32)})
+
+    return run
+
+
+def prefix_words(texts: DataFrame, frequency, least: float) -> np.ndarray:
+    """Bits of the words that stand in the prefix of some record, by hash: a vector of fixed length."""
+    out = np.zeros(MARKS, bool)
+    out[texts.select("text").mapInPandas(_mark(frequency, least), "mark int").distinct().toPandas()["mark"].to_numpy()] = True
+    return np.packbits(out)
+
+
+def _prefixes(frequency, marks, least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = frequency.value
+        table, marked = frequency.value, marks.value
         for frame in frames:
             rows = []
             for rid, text in zip(frame["id"], frame["text"]):
@@ -91,11 +117,11 @@ def _prefixes(frequency, least: float):
                 n = len(hashes)
                 if not n:
                     continue
-                counts = table[hashes & (BUCKETS - 1)]
-                order = np.lexsort((hashes, counts))[: prefix_length(n, least)]
-                place = np.flatnonzero(counts[order] > 0)
+                prefix = _ordered(hashes, table, least)
+                at = prefix & (MARKS - 1)
+                place = np.flatnonzero(marked[at >> 3] >> (7 - (at & 7)) & 1)
                 if len(place):  # else it shares no prefix word with any evaluation record
-                    rows.append((rid, xxhash.xxh128_hexdigest(hashes.tobytes()), n, hashes[order[place]], place.astype(np.int32), *signature(hashes)))
+                    rows.append((rid, xxhash.xxh128_hexdigest(hashes.tobytes()), n, prefix[place], place.astype(np.int32), *signature(hashes)))
             yield pd.DataFrame(rows, columns=["id", "own", "size", "tokens", "places", "s1", "s2"])
 
     return run
@@ -125,7 +151,8 @@ def class_pairs(evaluation: DataFrame, training: DataFrame, least: float = 0.8)
     """
     table = evaluation.sparkSession.sparkContext.broadcast(frequencies(evaluation))
     shape = "id {}, own string, size int, tokens array<bigint>, places array<int>, s1 bigint, s2 bigint"
-    e_rows, t_rows = (cut(x.mapInPandas(_prefixes(table, least), shape.format(dict(x.dtypes)["id"]))) for x in (evaluation, training))
+    marks = evaluation.sparkSession.sparkContext.broadcast(prefix_words(evaluation, table, least))
+    e_rows, t_rows = (cut(x.mapInPandas(_prefixes(table, marks, least), shape.format(dict(x.dtypes)["id"]))) for x in (evaluation, training))
     e_classes, t_classes = cut(_classes(e_rows)), cut(_classes(t_rows))
     both = F.col("size_e") + F.col("size_t")
     overlap = F.ceil(F.lit(least / (1 + least)) * both - 1e-9)

@@ -74,9 +74,9 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     data.  A bin is named by (container, bin_group, bin).  An item is cut only if it alone exceeds the
     capacity; ``start`` is the offset of a piece in its item.  An item of size zero (a null or empty text) takes no
     room and lies in the first bin with any.  Containers with a null capacity or one below 1 are left out; a
-    repeated container row counts once.
+    repeated container row counts once, one with several capacities by its largest.
     """
-    kinds = [tuple(r) for r in containers.filter("capacity >= 1").select("container", F.col("capacity").cast("int")).distinct().orderBy("container", "capacity").take(MOST_KINDS + 1)]
+    kinds = [tuple(r) for r in containers.filter("capacity >= 1").groupBy("container").agg(F.max("capacity").cast("int").alias("capacity")).orderBy("container").take(MOST_KINDS + 1)]
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of container")
     groups = max(1, -(-items.count() // group_docs))
@@ -100,7 +100,9 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     if not kinds:
         return items.sparkSession.createDataFrame([], shape)
     # The kinds are worked off inside the task, so items are shuffled once and not once a kind.
-    return dealt.groupBy("bin_group").applyInPandas(run, shape)
+    # Each group is a task of its own or shares one with a few; small shuffles are else joined into one task for all groups.
+    tasks = min(groups, 4 * items.sparkSession.sparkContext.defaultParallelism) if groups < 4096 else 0
+    return (dealt.repartition(tasks, "bin_group") if tasks else dealt).groupBy("bin_group").applyInPandas(run, shape)
 
 
 def pack_documents(documents: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", directory: str = TOKENIZERS, **options) -> DataFrame:
@@ -112,5 +114,5 @@ def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, bins, tokens, filled): how many bins each kind took and which share of their room is used."""
     bins = packed.groupBy("container", "bin_group", "bin").agg(F.sum("tokens").alias("used"))
     totals = bins.groupBy("container").agg(F.count("*").alias("bins"), F.sum("used").alias("tokens"))
-    kinds = containers.select("container", "capacity").distinct()
+    kinds = containers.filter("capacity >= 1").groupBy("container").agg(F.max("capacity").alias("capacity"))
     return totals.join(F.broadcast(kinds), "container").select("container", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("filled"))

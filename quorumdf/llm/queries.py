@@ -20,6 +20,11 @@ def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(table(spark, d, "answers"), table(spark, d, "questions"))
 
 
+def p1_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus by the textbook mixture, for comparison."""
+    return consensus.consensus(table(spark, d, "answers"), table(spark, d, "questions"), plain=True).select("pool_id", "question", "answer")
+
+
 def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
     return consensus.reliability(table(spark, d, "answers"), table(spark, d, "questions"))
 
@@ -99,7 +104,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.stretches(documents, languages.fit(documents)).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_votes, p2_found, p2_distinct, p3_found, p3_redacted, p4_found, p4_normal, p5_found, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_plain, p1_reliability, p1_votes, p2_found, p2_distinct, p3_found, p3_redacted, p4_found, p4_normal, p5_found, p5_report, p6_ids, p7_packed, p7_fill, p8_found, p8_languages, p8_segments)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 

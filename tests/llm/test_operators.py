@@ -73,6 +73,11 @@ def test_consensus_finds_spammers_liars_and_echoes(spark):
     assert rel["base"]["echo_of"] == rel["copy"]["echo_of"] and rel["good"]["echo_of"] == "good"
     assert rel["good"]["accuracy"] > 0.85 > rel["fair"]["accuracy"] > rel["base"]["accuracy"] > rel["liar"]["accuracy"]
     assert rel["spam"]["guesses"][0] > 0.8
+    assert rel["good"]["reliability"] > 0.8 > rel["fair"]["reliability"] and abs(rel["spam"]["reliability"]) < 0.15 and rel["liar"]["reliability"] < -0.1
+    plain = {x["pool_id"]: x["answer"] for x in consensus.consensus(df, asked(spark), plain=True).collect()}
+    assert set(plain) == set(got) and 0.5 < np.mean([plain[i] == options[t] for i, t in truth.items()]) < right
+    with pytest.raises(ValueError):
+        consensus.start(["q"], ["m"] * 2000, [["x"] * 100])
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------
@@ -115,6 +120,25 @@ def test_fast_path_equals_slow_path(spark):
     assert all(got[i] == (None if t is None else duplicates.canonical_content(t)) for i, t in rows)
 
 
+def test_colliding_hashes_are_told_apart_by_content(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "alpha one"), (2, "Alpha-One"), (3, "beta two"), (4, "BETA two!"), (5, "gamma"), (6, "alpha ONE")]
+    df = frame(spark, rows, "pool_id long, text string")
+    for hashed in (F.md5, lambda c: F.substring(F.md5(c), 1, 0), lambda c: F.substring(c, 1, 4)):  # sound, one for all, one for a few
+        members, repeated = duplicates.collapse(df, hashed=hashed)
+        got = {(r["id"], r["keep_id"], r["copies"]) for r in members.join(repeated, "group").collect()}
+        assert got == {(1, 1, 3), (2, 1, 3), (6, 1, 3), (3, 3, 2), (4, 3, 2)}
+
+
+def test_content_by_hand():
+    """Written out, apart from the tables of the operator."""
+    same = [("Rеfund №12", "refund 12"), ("ＡＢ c", "abc"), ("a\u200bb", "AB"), ("Name: Jo; Plan: X", '{"plan": "x", "name": "jo"}'), ("ÉTÉ", "été"), ("СОРТ", "сорт")]
+    other = [("refund 12", "refund 13"), ("ete", "été"), ("Name: Jo; Plan: X", "Name: X; Plan: Jo")]
+    assert all(duplicates.canonical_content(a.replace("№", "")) == duplicates.canonical_content(b) for a, b in same)
+    assert all(duplicates.canonical_content(a) != duplicates.canonical_content(b) for a, b in other)
+
+
 def test_hot_content_is_whole(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     assert duplicates.found(frame(spark, rows, "pool_id long, text string")).count() == 999
@@ -333,6 +357,9 @@ def test_packing_keeps_everything(spark):
         assert max(used.values()) <= capacity and sums == {i: s or 0 for i, s in rows}
         assert all(r["piece"] == 0 for r in own if (dict(rows)[r["doc_id"]] or 0) <= capacity)
         assert sum(used.values()) / (len(used) * capacity) > 0.8
+    twice = kinds.union(frame(spark, [("s", 8)], "container string, capacity int"))
+    filled = {r["container"]: r for r in packing.fill(packing.pack(items, twice, group_docs=60), twice).collect()}
+    assert set(filled) == {"s", "l"} and filled["s"]["bins"] == len({(r["bin_group"], r["bin"]) for r in got if r["container"] == "s"}) and 0.8 < filled["s"]["filled"] <= 1
     assert packing.pack(items.filter("false"), kinds).count() == 0 and packing.pack(items, kinds.filter("false")).count() == 0
 
 
