@@ -42,20 +42,23 @@ def _joined(w: Column, n: int):
     return lambda i: F.array_join(F.slice(w, i + 1, n), " ")
 
 
-def _cut(w: Column, n: int):
-    return lambda i: F.substring(w, i, F.lit(n))
-
-
 def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
-    """Character n-grams inside white-space words, each word padded by a blank on both sides; a shorter word counts once and has no longer grams."""
-    padded = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def grams(w: Column) -> Column:
-        none = F.expr("cast(array() as array<string>)")
-        own = [F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), _cut(w, n))).otherwise(none) for n in range(least, most + 1)]
-        return F.when(F.length(w) <= least, F.array(w)).otherwise(F.concat(*own))
-
-    return F.flatten(F.transform(padded, grams))
+    """Character n-grams inside white-space words, each word padded by a blank on both sides; a shorter word counts once and has no longer grams.
+
+    The words are set two blanks apart, so that each place where an n-gram of one padded word starts is found by looking ahead,
+    in one pass over the text for each length.
+    """
+    trimmed = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
+    padded = F.concat(F.lit(" "), F.regexp_replace(trimmed, r"(?U)\s+", "  "), F.lit(" "))
+    whole = r"(?![\x{DC00}-\x{DFFF}])"  # not in the middle of a character of two units
+
+    def found(grams: str) -> Column:
+        return F.regexp_extract_all(padded, F.lit(f"{whole}(?=({grams}))"), F.lit(1))
+
+    parts = [found(f" [^ ]{{{n - 1}}}|[^ ]{{{n}}}|[^ ]{{{n - 1}}} | [^ ]{{{n - 2}}} ") for n in range(least, most + 1)]
+    if least > 3:  # whole words that are shorter than any n-gram
+        parts.append(found(f" [^ ]{{1,{least - 3}}} "))
+    return F.concat(*parts)
 
 
 def letter_words(text: Column) -> Column:

@@ -6,12 +6,15 @@ range-partitioned order (:mod:`quorumdf.plans.ranks`), so no group is held by on
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumdf.functions import arrays as A
 from quorumdf.plans.ranks import running, tile
-from quorumdf.plans.skew import cut, join_groups
+from quorumdf.plans.skew import cut
 
 
 def stated(df: DataFrame) -> DataFrame:
@@ -87,25 +90,32 @@ def auroc(df: DataFrame, group: list[str], score: str, truth: str) -> DataFrame:
 
 def selective(df: DataFrame, group: list[str], coverages: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.5)) -> DataFrame:
     """(group, coverage, threshold, kept, accuracy): accuracy on the most confident rows, cut at the (interpolated) quantile of the confidence."""
-    rows = cut(df.select(*group, A.top(F.col("p")).alias("conf"), (A.argmax(F.col("p")) == F.col("y")).cast("double").alias("hit")))
-    ranked = running(rows, group, [("conf", True)])
-    at = [(F.col("group_n") - 1) * A.lit(1 - c) for c in coverages]
-    value = lambda k: F.max(F.when(F.col("row_no") - 1 == k, F.col("conf")))
-    ends = ranked.groupBy(*group).agg(F.max("group_n").alias("group_n"), *[e for i, x in enumerate(at) for e in (value(F.floor(x)).alias(f"lo{i}"), value(F.ceil(x)).alias(f"hi{i}"))])
+    rows = df.select(*group, A.top(F.col("p")).alias("conf"), (A.argmax(F.col("p")) == F.col("y")).cast("double").alias("hit"))
+    folded = rows.groupBy(*group, "conf").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    # Equal confidences stand at the places upto - n + 1 .. upto of the ascending order.
+    ranked = cut(running(folded, group, [("conf", True)], {"upto": "n"}))
+    whole = ranked.groupBy(*group).agg(F.max("upto").alias("rows"))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group], F.lit(True))
+    both = ranked.alias("r").join(whole.alias("w"), same("r", "w"))
+    both = both.select("r.*", "w.rows")
+    at = [(F.col("rows") - 1) * A.lit(1 - c) for c in coverages]
+    inside = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("conf")))
+    ends = both.groupBy(*group).agg(F.max("rows").alias("rows"), *[e for i, x in enumerate(at) for e in (inside(F.floor(x)).alias(f"lo{i}"), inside(F.ceil(x)).alias(f"hi{i}"))])
     limits = [F.struct(A.lit(c).alias("coverage"), (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x))).alias("cutoff")) for i, (c, x) in enumerate(zip(coverages, at))]
-    met = join_groups(rows, ends.select(*group, "group_n", F.array(*limits).alias("cuts")), group, "group_n", rows.count())
-    flat = met.select(*group, "conf", "hit", F.inline("cuts")).filter(F.col("conf") >= F.col("cutoff") - 1e-12)
-    return flat.groupBy(*group, "coverage").agg(F.min("conf").alias("threshold"), F.count("*").alias("kept"), F.avg("hit").alias("accuracy"))
+    cuts = ends.select(*group, F.array(*limits).alias("cuts"))
+    met = ranked.alias("r").join(cuts.alias("c"), same("r", "c")).select(*[F.col(f"r.{g}") for g in group], "r.conf", "r.n", "r.hits", F.inline("c.cuts")).filter(F.col("conf") >= F.col("cutoff") - 1e-12)
+    return met.groupBy(*group, "coverage").agg(F.min("conf").alias("threshold"), F.sum("n").alias("kept"), (F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 
 def confusion(df: DataFrame, labels: DataFrame, gold: str = "gold", said: str = "said") -> DataFrame:
     """(gold, said, n) on the full grid of labels, with a column for answers outside them (``__invalid__``)."""
-    known = labels.select(F.col("label"))
-    cells = df.join(known.withColumnRenamed("label", gold), gold, "left_semi").groupBy(gold, said).agg(F.count("*").alias("n"))
-    # The grid is labels times labels, whatever the data.
-    names = [r[0] for r in known.distinct().orderBy("label").take(5000)]
-    grid = known.distinct().select(F.col("label").alias(gold), F.explode(F.array(*map(F.lit, [*names, "__invalid__"]))).alias(said))
-    inside = cells.withColumn(said, F.when(F.col(said).isin(names), F.col(said)).otherwise("__invalid__")).groupBy(gold, said).agg(F.sum("n").alias("n"))
+    known = labels.select("label").filter("label is not null").distinct()
+    counts = df.join(known.withColumnRenamed("label", gold), gold, "left_semi").groupBy(gold, said).agg(F.count("*").alias("n"))
+    inside = counts.join(known.select(F.col("label").alias("__known")), F.col(said) == F.col("__known"), "left")
+    inside = inside.groupBy(gold, F.coalesce("__known", F.lit("__invalid__")).alias(said)).agg(F.sum("n").alias("n"))
+    # The grid is labels times labels, whatever the data: each label is given all others.
+    every = known.agg(F.array_append(F.array_sort(F.collect_list("label")), F.lit("__invalid__")).alias("all"))
+    grid = known.withColumnRenamed("label", gold).join(F.broadcast(every), F.size("all") > 0).select(gold, F.explode("all").alias(said))
     return grid.join(inside, [gold, said], "left").select(gold, said, F.coalesce("n", F.lit(0)).alias("n"))
 
 

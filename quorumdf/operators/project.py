@@ -124,7 +124,8 @@ class Project:
         """New rows by the hash of their text; texts already there are left."""
         O.require(O.unknown_labels(rows, self._dim()), "unknown labels")
         dev, test = self.t.read("seed_dev"), self.t.read("seed_test")
-        new = O.hash_split(O.without(rows.select("text", "label").dropDuplicates(["text"]), dev, test), self.test_share, self.seed)
+        first = O.keep_first(rows.select("text", "label").withColumn("__at", F.col("label")), ["text"], "__at").select("text", "label")  # of several labels of one text the first by name
+        new = O.hash_split(O.without(first, dev, test), self.test_share, self.seed)
         n = new.count()
         self._rewrite(dev.unionByName(new.filter("split = 'dev'").drop("split")), test.unionByName(new.filter("split = 'test'").drop("split")))
         return n
@@ -248,10 +249,10 @@ class Project:
         return rows.unionByName(self.t.read("seed_dev")) if with_dev else rows
 
     def distill(self, min_confidence: float = 0.0, budget: float | None = None, **options) -> tuple[heads.Student, dict]:
-        """(student, report).  With a ``budget`` three tenths of the pool are held out of training to find the routing threshold."""
+        """(student, report).  With a ``budget`` three tenths of the teacher's pool are held out of training to find the routing threshold; hand labels never are."""
         rows = self.training_rows(min_confidence)
         limit = None
-        held = O.hash_split(rows, 0.3, self.seed).filter("split = 'test'") if budget is not None else None
+        held = O.hash_split(self.training_rows(min_confidence, with_dev=False), 0.3, self.seed).filter("split = 'test'") if budget is not None else None
         train = rows if held is None else O.without(rows, held)
         student = heads.train_classifier(train, self.names, **options)
         if held is not None:
@@ -397,7 +398,8 @@ class Panel:
         """(student, report): heads on the targets, calibrated out of fold, with a routing threshold from held-out judged texts."""
         rows = self.t.write("targets", self.targets().withColumn("id", F.xxhash64("text")))
         asked = {q: x.options for q, x in self.questions.items()}
-        held = O.hash_split(rows, 0.3, self.seed).filter("split = 'test'") if budget is not None else None
+        judged = O.without(rows, self.gold("dev").select("text").distinct())  # disagreement is with the teacher, so hand answers are not held out
+        held = O.hash_split(judged, 0.3, self.seed).filter("split = 'test'") if budget is not None else None
         train = rows if held is None else O.without(rows, held)
         student = heads.train_panel(train, asked, **options)
         if calibrate:

@@ -70,9 +70,15 @@ def document_scores(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def document_checks(student: DataFrame, teacher: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, score, disagree): scores of the student, and whether any question that both answered has another option."""
-    both = student.join(teacher.select(*keys, "question", A.argmax(F.col("p")).alias("truth")), [*keys, "question"])
-    return both.groupBy(*keys).agg(F.min(A.top(F.col("p"))).alias("score"), F.max((A.argmax(F.col("p")) != F.col("truth")).cast("int")).alias("disagree"))
+    """(keys, score, disagree): for every document of the student its smallest top probability over all its questions, as it is
+    served, and whether the teacher says otherwise on any question that both answered.
+
+    A document without any answer of the teacher stays, as one without disagreement: it is served all the same, and counts in n.
+    """
+    said = teacher.filter("p is not null").select(*keys, "question", A.argmax(F.col("p")).alias("truth"))
+    both = student.join(said, [*keys, "question"], "left")
+    differs = F.coalesce((A.argmax(F.col("p")) != F.col("truth")).cast("int"), F.lit(0))
+    return both.groupBy(*keys).agg(F.min(A.top(F.col("p"))).alias("score"), F.max(differs).alias("disagree"))
 
 
 def threshold(checks: DataFrame, budget: float = 0.02, delta: float = 0.05) -> DataFrame:

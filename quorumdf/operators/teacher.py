@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorumdf.functions.text import cache_key, parse_answers, parse_label
 from quorumdf.operators.tables import keep_last
-from quorumdf.plans.skew import cut
+from quorumdf.plans.skew import cut, path_exists
 
 WAITS = (2, 8, 30)
 ANSWER_TOKENS = 12
@@ -27,11 +27,9 @@ class Store:
 
     def read(self) -> DataFrame:
         shape = "key string, response string, model string, created_at timestamp"
-        try:
-            rows = self.spark.read.schema(shape).parquet(self.path)
-        except Exception:  # noqa: BLE001 - nothing was written yet
+        if not path_exists(self.spark, self.path):  # nothing was written yet; any other failure to read is an error, else all would be asked again
             return self.spark.createDataFrame([], shape)
-        return keep_last(rows, ["key"], "created_at")
+        return keep_last(self.spark.read.schema(shape).parquet(self.path), ["key"], "created_at")
 
     def put(self, rows: DataFrame) -> None:
         rows.select("key", "response", "model", F.current_timestamp().alias("created_at")).write.mode("append").parquet(self.path)

@@ -173,8 +173,8 @@ def _checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHECKS = f"""{S.SQL}, checks as (
-  select a.pool_id, min(list_max(a.p)) as score, max(({_ARG.format("a.p")} <> {_ARG.format("b.p")})::int) as disagree
-  from votes a join votes b on b.teacher = 'heron-2' and a.teacher = 'plover-xl' and a.pool_id = b.pool_id and a.question = b.question group by 1)"""
+  select a.pool_id, min(list_max(a.p)) as score, coalesce(max(({_ARG.format("a.p")} <> {_ARG.format("b.p")})::int), 0) as disagree
+  from votes a left join votes b on b.teacher = 'heron-2' and a.pool_id = b.pool_id and a.question = b.question where a.teacher = 'plover-xl' group by 1)"""
 
 
 @query(f"with {S.SQL} select pool_id, round(min(list_max(p)), 6) as score from votes where teacher = 'plover-xl' group by 1")

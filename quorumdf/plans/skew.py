@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster the tables in between need a folder that all executors share")
         path = getattr(spark, "_quorumdf_shared", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="quorumdf-")
@@ -46,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its address names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
 def local_path(uri: str) -> str:
     return uri[7:] if uri.startswith("file://") else uri
 

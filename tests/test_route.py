@@ -43,6 +43,38 @@ def test_threshold_equals_the_loop(spark, seed):
     assert got["bound"] is None or got["bound"] <= 0.1
 
 
+def test_documents_are_scored_as_they_are_served(spark):
+    """The score is over all heads; a document that the teacher left unanswered, in part or whole, still counts."""
+    p = lambda x: [x, 1 - x]
+    student = spark.createDataFrame([(1, "a", p(0.9)), (1, "b", p(0.6)), (2, "a", p(0.8)), (2, "b", p(0.7)), (3, "a", p(0.55)), (3, "b", p(0.95))], "id long, question string, p array<double>")
+    teacher = spark.createDataFrame([(1, "a", p(0.2)), (2, "a", p(0.9)), (2, "b", None), (9, "a", p(0.1))], "id long, question string, p array<double>")
+    got = {r["id"]: (r["score"], r["disagree"]) for r in R.document_checks(student, teacher, ["id"]).collect()}
+    assert got == {1: (0.6, 1), 2: (0.7, 0), 3: (0.55, 0)}
+
+
+def test_over_budget_draws_stay_below_delta(spark):
+    """Documents of several questions, some unanswered: how often a certified threshold lets more disagreement through than budgeted."""
+    rng, over, draws = np.random.default_rng(3), 0, 400
+    budget, delta = 0.05, 0.05
+
+    def panel(n):
+        top = 0.5 + rng.random((n, 3)) / 2
+        answered = rng.random((n, 3)) < 0.8
+        wrong = (rng.random((n, 3)) < 0.25 * (1 - top)) & answered
+        return top.min(axis=1), wrong.any(axis=1)
+
+    score, bad = panel(400_000)
+    order = np.argsort(-score)
+    rate = np.cumsum(bad[order]) / len(score)  # local and wrong, of all documents
+    for _ in range(draws):
+        s, b = panel(300)
+        at = np.argsort(-s)
+        kept = (np.cumsum(b[at]) <= R.most_errors(300, budget, delta)).sum()
+        if kept:
+            over += rate[max(0, np.searchsorted(-score[order], -s[at][kept - 1], side="right") - 1)] > budget
+    assert over / draws <= delta + 0.02
+
+
 def test_nothing_is_local_without_a_threshold(spark):
     rows = spark.createDataFrame([(1, 0.9, 1)], "id long, score double, disagree int")
     got = R.threshold(rows).first()
