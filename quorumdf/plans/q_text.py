@@ -84,9 +84,9 @@ def q_embedding_knn(spark: SparkSession, d: str) -> DataFrame:
     return met.select("label", F.get(near, F.lit(0))["label"].alias("near")).groupBy("label", "near").agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{000B}\\x{001C}-\\x{001F}]+', ' ', 'g'), '^$', '')), 1, 400) as cleaned from documents where text is not null""")
+@query("""select doc_id, trim(regexp_replace(regexp_replace(text, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{000B}\\x{001C}-\\x{001F}]+', ' ', 'g'), '^$', '')) as cleaned from documents where text is not null""")
 def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", X.clean(F.col("text"), 400).alias("cleaned"))
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
 
 
 _REPLIES = """replies as (
@@ -116,40 +116,39 @@ def q_cache_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- calibration as expressions --------------------------------------------------------------------------------------
-_RESCALE = """case when len(p) = 2 then [1 - m, m] else list_transform(range(1, len(p) + 1), lambda i: case when i = w then t else p[i] * (1 - t) / rest end) end"""
-_MOVED = """moved as (select *, greatest(m, least(o / (rest + o) + 1e-9, 1 - 1e-12)) as t from (
-  select *, list_position(p, list_max(p)) as w, list_sort(p, 'desc')[2] as o, list_sum(p) - list_max(p) as rest from mapped) where rest > 1e-12)"""
+_RESCALE = """case when len(p) = 2 then [1 - m, m] else list_transform(range(1, len(p) + 1), lambda i: case when i = w then t when rest > 1e-12 then p[i] * (1 - t) / rest else (1 - t) / (len(p) - 1) end) end"""
+_MOVED = """moved as (select *, greatest(m, least(case when rest > 1e-12 then o / (rest + o) else 0 end + 1e-9, 1 - 1e-12)) as t from (
+  select *, list_position(p, list_max(p)) as w, list_sort(p, 'desc')[2] as o, list_sum(p) - list_max(p) as rest from mapped))"""
 
 
 def _apply(spark: SparkSession, d: str, params: dict) -> DataFrame:
-    rows = S.votes(spark, d).filter("teacher = 'teal-lite'").filter(A.total(F.col("p")) - A.top(F.col("p")) > 1e-12)
-    return rows.select("pool_id", "question", F.transform(K.expression(params, F.col("p")), lambda x: F.round(x + 1e-10, 6)).alias("p"))
+    return S.votes(spark, d).select("pool_id", "question", "teacher", F.transform(K.expression(params, F.col("p")), lambda x: F.round(x + 1e-10, 6)).alias("p"))
 
 
-_OWN = f"{S.SQL}, own as (select pool_id, question, p from votes where teacher = 'teal-lite' and list_sum(p) - list_max(p) > 1e-12)"
+_OWN = f"{S.SQL}, own as (select pool_id, question, teacher, p from votes)"
 
 
-@query(f"with {_OWN}, e as (select *, list_transform(p, lambda x: power(greatest(x, 1e-12), 1 / 1.7)) as e from own) select pool_id, question, list_transform(e, lambda x: round(x / list_sum(e) + 1e-10, 6)) as p from e")
+@query(f"with {_OWN}, e as (select *, list_transform(p, lambda x: power(greatest(x, 1e-12), 1 / 1.7)) as e from own) select pool_id, question, teacher, list_transform(e, lambda x: round(x / list_sum(e) + 1e-10, 6)) as p from e")
 def q_calibrate_apply_temperature(spark: SparkSession, d: str) -> DataFrame:
     return _apply(spark, d, {"method": "temperature", "t": 1.7})
 
 
 @query(f"""with {_OWN}, c as (select *, case when len(p) = 2 then p[2] else list_max(p) end as c from own),
 mapped as (select *, 1 / (1 + exp(-(0.8 * ln(least(greatest(c, 1e-12), 1 - 1e-9) / least(greatest(1 - c, 1e-12), 1.0)) - 0.3))) as m from c), {_MOVED}
-select pool_id, question, list_transform({_RESCALE}, lambda x: round(x + 1e-10, 6)) as p from moved""")
+select pool_id, question, teacher, list_transform({_RESCALE}, lambda x: round(x + 1e-10, 6)) as p from moved""")
 def q_calibrate_apply_platt(spark: SparkSession, d: str) -> DataFrame:
     return _apply(spark, d, {"method": "platt", "a": 0.8, "b": -0.3})
 
 
 @query(f"""with {_OWN}, c as (select *, case when len(p) = 2 then p[2] else list_max(p) end as c from own),
 mapped as (select *, case when c <= 0.2 then 0.1 when c < 0.6 then 0.1 + (0.5 - 0.1) * (c - 0.2) / (0.6 - 0.2) when c < 0.9 then 0.5 + (0.8 - 0.5) * (c - 0.6) / (0.9 - 0.6) else 0.8 end as m from c), {_MOVED}
-select pool_id, question, list_transform({_RESCALE}, lambda x: round(x + 1e-10, 6)) as p from moved""")
+select pool_id, question, teacher, list_transform({_RESCALE}, lambda x: round(x + 1e-10, 6)) as p from moved""")
 def q_calibrate_apply_isotonic(spark: SparkSession, d: str) -> DataFrame:
     return _apply(spark, d, {"method": "isotonic", "xs": [0.2, 0.6, 0.9], "ys": [0.1, 0.5, 0.8]})
 
 
 @query(f"""with {_OWN}, e as (select *, [exp(0.9 * ln(greatest(p[1], 1e-12)) + 0.1), exp(1.1 * ln(greatest(p[2], 1e-12)) - 0.1)] as e from own where question = 'upset')
-select pool_id, question, list_transform(e, lambda x: round(x / list_sum(e) + 1e-10, 6)) as p from e""")
+select pool_id, question, teacher, list_transform(e, lambda x: round(x / list_sum(e) + 1e-10, 6)) as p from e""")
 def q_calibrate_apply_vector(spark: SparkSession, d: str) -> DataFrame:
     rows = _apply(spark, d, {"method": "vector", "w": [[0.9, 0.0], [0.0, 1.1]], "b": [0.1, -0.1]})
     return rows.filter("question = 'upset'")
