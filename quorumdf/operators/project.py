@@ -21,6 +21,7 @@ from quorumdf.operators import heads, metrics, review, route, teacher
 from quorumdf.operators import tables as O
 from quorumdf.operators import votes as V
 from quorumdf.operators.combine import fit, pick_temperature, posterior
+from quorumdf.plans.skew import cut
 from quorumdf.sources.files import read_json, write_json
 
 
@@ -263,12 +264,32 @@ class Project:
         report = self.score(student)
         report["routing"] = limit
         shift = metrics.chi_square(self.labelled().filter(F.col("label") != X.INVALID), self.t.read("seed_dev")).first()
+        report |= self._evidence(student)
         report["shift_p"] = N.chi_square_survival(shift["statistic"] or 0.0, max(1, shift["cells"] - 1))
         report["findings"] = N.classifier_findings(report)
         write_json(f"{self.t.folder}/report.json", report)
         self.t.stage("distill", min_confidence=min_confidence)
         return student, report
 
+    def _evidence(self, student: heads.Student) -> dict:
+        """What the findings need beside the scores: label shares, confidence and validity of the pool, and student and teacher on the same test rows."""
+        pool = self.t.read("pool_labeled")
+        sums = pool.agg(F.avg("confidence").alias("c"), F.avg((F.coalesce("label", F.lit(X.INVALID)) == X.INVALID).cast("double")).alias("i")).first()
+        share = lambda df: {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in self.labels}
+        here, there = share(pool), share(self.t.read("seed_dev"))
+        n, m = max(1, sum(here.values())), max(1, sum(there.values()))
+        out = {"confidence": sums["c"], "invalid_share": sums["i"] or 0.0, "shift_ratios": [here.get(k, 0) / n / (v / m) for k, v in sorted(there.items())]}
+        if self.teachers:
+            gold = self.t.read("seed_test").withColumnRenamed("label", "gold")
+            own = heads.predict(student.predict_proba(gold), self.names, "p_label").select("text", "gold", F.col("label").alias("student"), A.top(F.col("p_label")).alias("sure"))
+            both = cut(own.join(self.ask(gold.select("text")).select("text", F.coalesce("label", F.lit(X.INVALID)).alias("teacher")), "text"))
+            right = both.agg(F.avg((F.col("teacher") == F.col("gold")).cast("double")).alias("t"), F.percentile("sure", F.lit(0.2)).alias("q")).first()
+            out["teacher_accuracy"] = right["t"]
+            out["accuracy_at_80"] = both.filter(F.col("sure") >= (right["q"] or 0.0)).agg(F.avg((F.col("student") == F.col("gold")).cast("double"))).first()[0]
+            gap = metrics.bootstrap_gap(self.spark, both.groupBy("gold", "teacher", "student").agg(F.count("*").alias("n")), self.names).first()
+            out["gap_low"], out["gap_high"] = gap["low"], gap["high"]
+        return out
+
     def score(self, student: heads.Student, split: str = "seed_test") -> dict:
         gold = self.t.read(split).withColumnRenamed("label", "gold")
         said = heads.predict(student.predict_proba(gold), self.names, "p_label").select("gold", F.col("label").alias("said"))
@@ -318,17 +339,40 @@ class Panel:
     def options(self) -> DataFrame:
         return Q.frame(self.spark, self.questions)
 
-    def add_seed(self, rows: DataFrame) -> None:
-        """Hand answers in wide form (text and a column per question); unreadable ones are null.  Split by text hash and locked."""
+    def _lock(self) -> str:
+        rows = self.t.read("gold").filter("split = 'test'").select("text", F.concat_ws(":", "question", F.col("y").cast("string")).alias("label"))
+        r = O.lock_hash(rows).first()
+        return f"{r['n']}:{r['lock']}"
+
+    def add_seed(self, rows: DataFrame, overwrite: bool = False) -> None:
+        """Hand answers in wide form (text and a column per question); unreadable ones are null.  Split by text hash and locked.
+
+        Of several rows of one text one counts, chosen by its content.  The same rows again are no change; others need ``overwrite``, which drops
+        what was derived from the old ones.
+        """
         missing = [q for q in self.questions if q not in rows.columns]
         if missing:
             raise ValueError(f"columns missing: {missing}")
-        rows = rows.filter(~X.is_blank(F.col("text"))).dropDuplicates(["text"])
+        rows = rows.filter(~X.is_blank(F.col("text"))).select("text", *self.questions)
+        rows = O.keep_first(rows.withColumn("__order", F.xxhash64("text", *[F.col(q).cast("string") for q in self.questions])), ["text"], "__order").drop("__order")
         flat = rows.select("text", F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(q).cast("string").alias("answer")) for q in self.questions])).alias("x")).select("text", "x.*")
         gold = flat.join(self.options, "question").select("text", "question", X.gold_index(F.col("answer"), F.col("kind"), F.col("options")).alias("y")).filter("y is not null")
+        whole = O.lock_hash(gold.select("text", F.concat_ws(":", "question", F.col("y").cast("string")).alias("label"))).first()
+        mark = f"{whole['n']}:{whole['lock']}"
+        if self.t.manifest.get("seed") == mark:
+            return
+        if "seed" in self.t.manifest and not overwrite:
+            raise ValueError("the seed is locked; overwrite=True replaces it and drops everything derived from it")
         self.t.write("gold", O.hash_split(gold, self.test_share, self.seed))
+        self.t.drop("judged", "votes", "first", "review", "targets", "routing_held")
+        self.t.manifest |= {"seed": mark, "lock": self._lock()}
         self.t.stage("seed")
 
+    def guard(self) -> None:
+        """Refuse to train when the test answers are not those that were locked."""
+        if self.t.manifest.get("lock") != self._lock():
+            raise ValueError("the test split has changed since it was locked")
+
     def gold(self, split: str) -> DataFrame:
         return self.t.read("gold").filter(F.col("split") == split).drop("split")
 
@@ -378,12 +422,19 @@ class Panel:
             return review.single_queue(self.t.read("judged"), self.options, ["text"], ledger)
         return review.panel_queue(self.t.read("judged"), self.t.read("votes"), ["text"], len(self.teachers), ledger)
 
-    def apply_review(self, decisions: DataFrame) -> None:
-        """Decisions (text, question, answer), answers being options' names."""
+    def apply_review(self, decisions: DataFrame) -> DataFrame:
+        """Append decisions (text, question, answer), answers being options' names; returns those on texts that were never judged."""
+        known = self.options.select("question", F.explode("options").alias("answer"))
+        O.require(decisions.filter("answer is not null").join(known, ["question", "answer"], "left_anti"), "unknown questions or answers")
         old = self.t.read("review") if self.t.has("review") else None
         last = (old.agg(F.max("seq")).first()[0] or 0) if old is not None else 0
         new = decisions.select("text", "question", F.lit(last + 1).alias("seq"), "answer")
         self.t.write("review", new if old is None else old.unionByName(new))
+        return review.unknown_reviews(decisions.select("text", "question", "answer"), self.t.read("judged"), ["text", "question"])
+
+    def unreview(self, texts: DataFrame) -> None:
+        """Take back the last decision on each of (text, question)."""
+        self.t.write("review", review.undo(self.t.read("review"), texts, ["text", "question"], label="answer"))
 
     def targets(self) -> DataFrame:
         """Wide vectors ``t_<question>``: the judged pool after review, and the dev split as one-hot rows."""
@@ -396,6 +447,7 @@ class Panel:
 
     def distill(self, budget: float | None = None, calibrate: bool = True, **options) -> tuple[heads.Student, dict]:
         """(student, report): heads on the targets, calibrated out of fold, with a routing threshold from held-out judged texts."""
+        self.guard()
         rows = self.t.write("targets", self.targets().withColumn("id", F.xxhash64("text")))
         asked = {q: x.options for q, x in self.questions.items()}
         judged = O.without(rows, self.gold("dev").select("text").distinct())  # disagreement is with the teacher, so hand answers are not held out
@@ -411,6 +463,11 @@ class Panel:
             report["routing"] = route.threshold(checks, budget).first().asDict()
             student.threshold = report["routing"]["threshold"]
         report["questions"] = self.score(student)
+        if self.teachers:
+            said = cut(self.combine(self._ask(self.gold("dev").select("text").distinct(), list(self.teachers))).select("text", "question", "p").join(self.gold("dev"), ["text", "question"]))
+            for r in metrics.ece(said, ["question"], "text").collect():
+                if r["question"] in report["questions"]:
+                    report["questions"][r["question"]]["teacher_ece"] = r["ece"]
         report["findings"] = N.panel_findings(report["questions"])
         write_json(f"{self.t.folder}/report.json", report)
         self.t.stage("distill")
@@ -447,6 +504,10 @@ class Panel:
             moved = F.when(F.col("y") == i, F.lit(j)).otherwise(F.col("y"))
             moved = F.when(moved > i, moved - 1).otherwise(moved)
             self.t.write("gold", self.t.read("gold").withColumn("y", F.when(F.col("question") == q, moved).otherwise(F.col("y")).cast("int")))
+            self.t.manifest["lock"] = self._lock()
+        if self.t.has("review"):
+            renamed = F.when((F.col("question") == q) & (F.col("answer") == source), F.lit(target)).otherwise(F.col("answer"))
+            self.t.write("review", self.t.read("review").withColumn("answer", renamed))
         self.questions[q] = Q.Question(x.kind, x.instructions, tuple(c for c in x.criteria if c[0] != source), x.hypothesis)
         self._store_questions()
 
@@ -454,12 +515,14 @@ class Panel:
         for name in ("judged", "votes", "gold", "review"):
             if self.t.has(name):
                 self.t.write(name, self.t.read(name).filter(F.col("question") != q))
+        if self.t.has("gold"):
+            self.t.manifest["lock"] = self._lock()
         del self.questions[q]
         self._store_questions()
 
     def set_question(self, q: str, question: Q.Question) -> None:
         """Add a question or replace one; stored answers to a replaced one no longer count."""
-        if q in self.questions and len(self.questions) > 1:
+        if q in self.questions:
             self.remove_question(q)
         self.questions[q] = question
         Q.check(self.questions)

@@ -74,3 +74,12 @@ def test_confusion_grid_and_bootstrap(spark):
     assert out["low"] <= out["point"] <= out["high"]
     f1 = {r["label"]: r for r in M.per_class(rows, labels).collect()}
     assert f1["c"]["f1"] == 0 and f1["b"]["recall"] == pytest.approx(20 / 22)
+
+
+def test_gap_interval_is_paired(spark):
+    cells = [("a", "a", "a", 60), ("b", "b", "b", 60), ("a", "a", "b", 12), ("b", "b", "a", 3), ("b", "zz", "b", 1)]
+    got = M.bootstrap_gap(spark, spark.createDataFrame(cells, "gold string, teacher string, student string, n long"), ["a", "b"]).first()
+    assert 0 < got["low"] < got["point"] < got["high"] < 0.3
+    same = M.bootstrap_gap(spark, spark.createDataFrame([("a", "b", "b", 9), ("b", "b", "b", 9)], "gold string, teacher string, student string, n long"), ["a", "b"]).first()
+    assert (same["low"], same["high"], same["point"]) == (0, 0, 0)
+    assert M.bootstrap_gap(spark, spark.createDataFrame([], "gold string, teacher string, student string, n long"), ["a"]).first()["point"] == 0

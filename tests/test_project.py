@@ -123,7 +123,13 @@ def reply(accuracy, name):
 def test_life_of_a_panel(spark, tmp_path):
     p = Panel(spark, str(tmp_path / "panel"), QUESTIONS, {"good": reply(0.95, "g"), "poor": reply(0.4, "p")})
     seed = [(t, keyword_label(t), "yes" if "again" in t else "no", str(min(2, t.count("now")))) for t, _ in texts(150, 5)]
-    p.add_seed(spark.createDataFrame(seed, "text string, topic string, angry string, level string"))
+    shape = "text string, topic string, angry string, level string"
+    p.add_seed(spark.createDataFrame(seed, shape))
+    lock = p.t.manifest["lock"]
+    p.add_seed(spark.createDataFrame(seed[::-1], shape))
+    assert p.t.manifest["lock"] == lock
+    with pytest.raises(ValueError):
+        p.add_seed(spark.createDataFrame(seed[1:], shape))
     pool = spark.createDataFrame(texts(120, 6), "text string, label string")
     judged = p.judge(pool, escalate=0.9)
     assert judged.count() == 360
@@ -133,10 +139,22 @@ def test_life_of_a_panel(spark, tmp_path):
     one = pool.first()["text"]
     p.apply_review(spark.createDataFrame([(one, "topic", "bug")], "text string, question string, answer string"))
     assert p.targets().filter(F.col("text") == one).first()["t_topic"] == [0.0, 1.0, 0.0]
+    p.unreview(spark.createDataFrame([(one, "topic")], "text string, question string"))
+    assert p.targets().filter(F.col("text") == one).first()["t_topic"] == judged.filter((F.col("text") == one) & (F.col("question") == "topic")).first()["p"]
+    with pytest.raises(ValueError):
+        p.apply_review(spark.createDataFrame([(one, "topic", "nonsense")], "text string, question string, answer string"))
+    assert p.apply_review(spark.createDataFrame([("never seen", "topic", "bug"), (one, "topic", "cancel")], "text string, question string, answer string")).count() == 1
     student, report = p.distill(budget=0.5, calibrate=False)
-    assert report["questions"]["topic"]["accuracy"] > 0.8 and "routing" in report
+    assert report["questions"]["topic"]["accuracy"] > 0.8 and "routing" in report and "teacher_ece" in report["questions"]["topic"]
+    held = p.t.read("routing_held")
+    assert held.join(p.gold("dev").select("text"), "text").count() == 0 and held.count() == report["routing"]["n"]
     p.merge_options("topic", "cancel", "billing")
     assert p.questions["topic"].options == ["billing", "bug"] and {len(r["p"]) for r in p.t.read("judged").filter("question = 'topic'").collect()} == {2}
+    assert {r["answer"] for r in p.t.read("review").filter("text <> 'never seen'").collect()} <= {None, "bug", "billing"}
+    p.guard()
+    p.t.write("gold", p.t.read("gold").withColumn("y", F.when(F.col("split") == "test", 1 - F.col("y")).otherwise(F.col("y")).cast("int")))
+    with pytest.raises(ValueError):
+        p.distill()
     p.remove_question("level")
     assert set(Panel(spark, p.t.folder).questions) == {"topic", "angry"}
 
