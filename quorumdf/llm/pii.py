@@ -41,6 +41,10 @@ _TOKEN = re.compile(
     r"|(?<!\w)(?<!0 )(?:dra?|mrs?|ms|prof|sra?|st|hr|fr|dhr|mevr|mme|mlle|[^\W\d_])\.(?=\s?\w)|(?<!\w)[+(]?0[0()]*(?:(?:[ ./-]|\) ?| \(|[ -]?\()0[0()]*)+(?![\w@]|[./-]\w)|\w+(?:[.+'’/_-]\w+)*|\n|[^\w\s]",
     re.I,
 )
+#: What a token with a mail address, or a handle, has in it, other than the signs of :func:`_mailed`.
+_SPOKEN = re.compile(rf" at [\w-]+{_DOT}\w", re.I)
+#: Blanks at which a text without such tokens is cut into pieces: no token crosses them, and none looks across, as that takes an end of digits, a bracket or a full stop before them.
+_CUT = re.compile(r" (?<![0().] )")
 _DIGITS = re.compile("0+")
 #: Features that name a word; in fitting a share of the words is without them, as words not met before will be.
 _WORDY = ("w=", "-4=", "-3=", "+4=", "-2=")
@@ -66,22 +70,47 @@ _CUE_STARTS = {
     "firm": tuple("ltd gmbh inc group ag company co bank partners s.a b.v logistics app portal plan branch office product version model store filiale tarif oficina agence".split()),
 }
 _STREET_END = ("straße", "strasse", "weg", "gasse", "platz", "allee", "str", "straat", "laan", "plein", "steig", "ring")
-_ZEROS = str.maketrans("123456789", "000000000")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
 _BAR = re.compile(r"[^\W\d_]+")
 
 
+class _Folds(dict):
+    """Of each character's code what it is folded to, without accents and joiners; ``odd`` are those that become none or several."""
+
+    def __init__(self):
+        self.odd: set[str] = set()
+
+    def __missing__(self, code: int) -> str:
+        folded = self[code] = "".join(f for f in fold_char(chr(code)) if not "\u0300" <= f <= "\u036f" and f != "\u200d")
+        if len(folded) != 1:
+            self.odd.add(chr(code))
+        return folded
+
+
+_FOLDS = _Folds()
+
+
 def aligned(text: str) -> tuple[str, list[int] | None]:
     """The text with each character folded on its own, and for each folded character its place in the text (None: the same)."""
     if text.isascii():
         return text, None
-    out, at = [], []
-    for i, c in enumerate(text):
-        for f in fold_char(c):
-            if not "\u0300" <= f <= "\u036f" and f != "\u200d":
-                out.append(f)
-                at.append(i)
+    folded = text.translate(_FOLDS)
+    if _FOLDS.odd.isdisjoint(text):
+        return folded, None
+    at = [i for i, c in enumerate(text) for _ in _FOLDS[ord(c)]]
     at.append(len(text))
-    return "".join(out), at
+    return folded, at
+
+
+def _zeroed(text: str) -> str:
+    """The text with each digit 1 to 9 as a zero; none of these bytes is part of another character."""
+    return text.encode("utf-8", "surrogatepass").translate(_ZEROS).decode("utf-8", "surrogatepass")
+
+
+def _mailed(text: str) -> bool:
+    """Whether a token of mail addresses or handles may be in the text."""
+    low = text.lower()
+    return "@" in text or "(at" in low or "[at" in low or " at " in low and _SPOKEN.search(text) is not None
 
 
 def _fold_labelled(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -161,6 +190,7 @@ class Tagger:
         self.types: dict[str, int] = {}
         self.table = np.zeros((2 * REACH + 1, 1, len(LABELS)), np.float32)  # row 0: beyond the ends
         self.fresh: list[str] = []
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.most = MOST_TYPES
 
     def with_list(self, names) -> Tagger:
@@ -172,7 +202,7 @@ class Tagger:
     # -- fitting -----------------------------------------------------------------------------------------------------
     def fit(self, texts: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, penalty: float = 5e-2, step: float = 0.15, seed: int = 5) -> None:
         texts = [_fold_labelled(t, spans) for t, spans in texts]
-        cut = [[m for m in _TOKEN.finditer(t.translate(_ZEROS))] for t, _ in texts]
+        cut = [[m for m in _TOKEN.finditer(_zeroed(t))] for t, _ in texts]
         gold = []
         for (_, spans), tokens in zip(texts, cut):
             tags = np.zeros(len(tokens), np.int64)
@@ -244,6 +274,21 @@ class Tagger:
         self.fresh.append(token)
         return i
 
+    def _ids(self, text: str) -> list[int]:
+        """The types of the text's tokens.  A piece met before is not cut into tokens again."""
+        text = _zeroed(text)
+        if _mailed(text):
+            return [self.types.get(t) or self._type(t) for t in _TOKEN.findall(text)]
+        out: list[int] = []
+        for piece in _CUT.split(text):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) >= self.most:
+                    self.pieces.clear()
+                ids = self.pieces[piece] = tuple(self.types.get(t) or self._type(t) for t in _TOKEN.findall(piece))
+            out += ids
+        return out
+
     def _score_fresh(self) -> None:
         rows = np.zeros((2 * REACH + 1, len(self.fresh), len(LABELS)), np.float32)
         for k, token in enumerate(self.fresh):
@@ -258,11 +303,10 @@ class Tagger:
         folded = [aligned(t) if t else ("", None) for t in texts]
         ids: list[np.ndarray] = []
         for text, _ in folded:
-            tokens = _TOKEN.findall(text.translate(_ZEROS))
             try:
-                ids.append(np.fromiter((self.types.get(t) or self._type(t) for t in tokens), np.int32, len(tokens)))
+                ids.append(np.array(self._ids(text), np.int32))
             except OverflowError:  # forget the types and start over with half the texts; only speed depends on it
-                self.types, self.fresh, self.table = {}, [], self.table[:, :1]
+                self.types, self.pieces, self.fresh, self.table = {}, {}, [], self.table[:, :1]
                 half = len(texts) // 2
                 if half:
                     return self.tag(texts[:half]) + self.tag(texts[half:])
@@ -312,7 +356,7 @@ class Tagger:
         return [tags[k, : size[k]] for k in range(len(ids))]
 
     def _spans(self, tags: np.ndarray, text: str, at: list[int] | None) -> list[tuple[int, int, str]]:
-        tokens = list(_TOKEN.finditer(text.translate(_ZEROS)))
+        tokens = list(_TOKEN.finditer(_zeroed(text)))
         spans: list[list] = []
         for tag, m in zip(tags, tokens):
             if not tag:

@@ -207,6 +207,30 @@ def test_tagger_starts_afresh():
     assert small.tag(texts) == large.tag(texts) and small.most > 40
 
 
+def test_tagger_cuts_known_pieces_once(monkeypatch):
+    """Words met before are not cut into tokens again, and the pieces have the tokens of the whole text."""
+    cut, seen = pii._TOKEN, []
+
+    class Counted:
+        def findall(self, text):
+            seen.append(len(text))
+            return cut.findall(text)
+
+        finditer = cut.finditer
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice("the parcel came late again, please look into it: código überall".split()) for _ in range(40)) for _ in range(200)]
+    tagger = pii.trained().with_list(())
+    with monkeypatch.context() as m:
+        m.setattr(pii, "_TOKEN", Counted())
+        tagger.tag(texts)
+    assert sum(seen) < 0.05 * sum(map(len, texts))
+    bits = "0|12|(0|0)|)|(|[|.|,|-|/| |  |\n|\t|\u00a0|mr.|Dr.|a.|st.| at |[at]|(AT)| dot |.com|word|é|İ|@| @ |+0|00-00|_|’|0 mr. x".split("|")
+    for _ in range(20_000):
+        text = "".join(r.choices(bits, k=7))
+        assert tagger._ids(text) == [tagger.types[t] for t in cut.findall(pii._zeroed(text))], text
+
+
 def test_places_survive_folding():
     text = "Nam​е: Ｚora"
     folded, at = pii.aligned(text)
