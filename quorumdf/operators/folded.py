@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quorumdf.operators import dual
 from quorumdf.operators.features import CharTerms, WordTerms
-from quorumdf.plans.skew import cut, dropped, local_path, shared_dir, spread
+from quorumdf.plans.skew import cut, dropped, local_path, shared_dir
 
 #: Rows whose terms a task deals out at once.
 DEALT_ROWS = 2_000
@@ -85,7 +85,7 @@ class FoldedProducts:
                 out = []
                 for p in range(own):
                     at = order[edges[p] : edges[p + 1]]
-                    arrays = ids.astype(np.int64), folds, np.bincount(row[at], minlength=n).astype(np.int32), place[term[at]].astype(np.int32), tf[at].astype(np.int32)
+                    arrays = ids.astype(np.int64)[: n if first + p == 0 else 0], folds, np.bincount(row[at], minlength=n).astype(np.int32), place[term[at]].astype(np.int32), tf[at].astype(np.int32)
                     out.append((first + p, int(ids[0]), *[x.tobytes() for x in arrays], of_part[p]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 6))], ["part", "first", *kept])
 
@@ -114,10 +114,11 @@ class FoldedProducts:
                 with tempfile.NamedTemporaryFile(dir=folder, delete=False) as file:
                     file.write(block)
                 os.replace(file.name, f"{folder}/{part}")  # a task that runs twice leaves the same
-            ids = b"".join(r[2] for r in pieces) if part == 0 else b""
+            ids = b"".join(r[2] for r in pieces)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in (ids, b"" if folder else block)]], ["part", "ids", "block"])
 
-        tokens = WordTerms(text, "__word").transform(CharTerms(text, "__char").transform(spread(rows.select("__id", "fold", text), "__id")))
+        few = rows.select("__id", "fold", text).repartition(max(self.tasks, -(-self.n // DEALT_ROWS)), "__id")  # the terms of a task are twenty times its texts
+        tokens = WordTerms(text, "__word").transform(CharTerms(text, "__char").transform(few))
         dealt_out = tokens.select("__id", "fold", "__word", "__char").mapInArrow(deal, "part int, first long, " + ", ".join(f"{c} binary" for c in kept))
         return cut(dealt_out.repartitionById(count, F.col("part")).mapInArrow(join, "part int, ids binary, block binary"))
 
